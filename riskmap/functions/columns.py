@@ -12,6 +12,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def qcol(name: str) -> Column:
+    """A column by exact name (names like ``band=1.0-1.3`` hold dots)."""
+    return F.col(f"`{name}`")
+
+
 def recode_sentinels(c, codes: Sequence[int]) -> Column:
     """Listed codes -> null; null stays null."""
     x = col(c)

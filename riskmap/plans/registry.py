@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "riskmap.plans.evaluation",
+    "riskmap.plans.prepare",
 )
 
 
