@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "riskmap.plans.evaluation",
     "riskmap.plans.prepare",
+    "riskmap.plans.synthesis",
 )
 
 
