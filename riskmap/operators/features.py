@@ -137,15 +137,20 @@ def fit_feature_model(df_clean: DataFrame, spec: RoleSpec,
     the medians); pass the training split for leak-free work.
     """
     require_outcome(df_clean, spec)
-    fit_df = fit_rows if fit_rows is not None else df_clean
     numeric = present(df_clean, spec.numeric_candidates)
     passthrough = present(df_clean, spec.passthrough)
     nominal = present(df_clean, spec.nominal)
-    med = medians(fit_df, numeric + passthrough)
-    missing = [c for c, v in med.items() if v is None]
-    if missing:
-        raise ValueError(f"cannot impute all-null columns: {missing}")
-    lv = levels(fit_df, nominal)
+    fit_df = fit_rows if fit_rows is not None else df_clean
+    # several jobs read the same columns: materialize them once for the fit
+    fit_df = fit_df.select(*numeric, *passthrough, *nominal).persist()
+    try:
+        med = medians(fit_df, numeric + passthrough)
+        missing = [c for c, v in med.items() if v is None]
+        if missing:
+            raise ValueError(f"cannot impute all-null columns: {missing}")
+        lv = levels(fit_df, nominal)
+    finally:
+        fit_df.unpersist()
     onehot = [(c, level, f"{c}={level}") for c in nominal for level in lv[c]]
     return FeatureModel(spec, numeric, passthrough, onehot, med,
                         {c: df_clean.schema[c].dataType for c in nominal})

@@ -8,6 +8,7 @@ MODULES = (
     "riskmap.plans.evaluation",
     "riskmap.plans.prepare",
     "riskmap.plans.synthesis",
+    "riskmap.plans.prediction",
 )
 
 
