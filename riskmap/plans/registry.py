@@ -9,6 +9,7 @@ MODULES = (
     "riskmap.plans.prepare",
     "riskmap.plans.synthesis",
     "riskmap.plans.prediction",
+    "riskmap.plans.segmentation",
 )
 
 
