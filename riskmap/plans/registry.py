@@ -10,6 +10,7 @@ MODULES = (
     "riskmap.plans.synthesis",
     "riskmap.plans.prediction",
     "riskmap.plans.segmentation",
+    "riskmap.plans.rollup",
 )
 
 
