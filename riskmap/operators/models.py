@@ -169,10 +169,10 @@ def _score(model: PipelineModel, df: DataFrame, kind: str, keep: Sequence[str])
     return model.transform(df).select(*keep, positive_score(kind).alias("p"))
 
 
-def fit_and_score(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
-                  score: DataFrame, keep: Sequence[str], weighted: bool = False,
-                  weight_sum: float | None = None, extra_stages: Sequence = ()):
-    """Fit on ``train`` and return (model, scores of ``score``)."""
+def fit_pipeline(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
+                 weighted: bool = False, weight_sum: float | None = None,
+                 extra_stages: Sequence = ()) -> PipelineModel:
+    """Fit feature stages, then the solver on cached, size-partitioned vectors."""
     n = weight_sum if weight_sum is not None else float(train.count())
     pipe = build_pipeline(fm, family, params, n, weighted, extra_stages)
     stages = pipe.getStages()
@@ -189,7 +189,14 @@ def fit_and_score(fm: FeatureModel, family: Family, params: dict, train: DataFra
         est = stages[-1].fit(feats)
     finally:
         feats.unpersist()
-    model = PipelineModel(prep.stages + [est])
+    return PipelineModel(prep.stages + [est])
+
+
+def fit_and_score(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
+                  score: DataFrame, keep: Sequence[str], weighted: bool = False,
+                  weight_sum: float | None = None, extra_stages: Sequence = ()):
+    """Fit on ``train`` and return (model, scores of ``score``)."""
+    model = fit_pipeline(fm, family, params, train, weighted, weight_sum, extra_stages)
     return model, _score(model, score, family.kind, keep)
 
 
@@ -199,7 +206,7 @@ def fold_sizes(data: DataFrame, fold_col: str = "fold") -> dict[int, int]:
 
 def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str = "k",
                 label_col: str = "y", fold_col: str = "fold", weighted: bool = False,
-                parallelism: int = 4, extra_stages: Sequence = ()) -> tuple[DataFrame, dict]:
+                parallelism: int = 8, extra_stages: Sequence = ()) -> tuple[DataFrame, dict]:
     """M8: mean cross-validated average precision per grid point; best refit params.
 
     Fits run concurrently from driver threads (each fit is a distributed MLlib
@@ -240,7 +247,7 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
 
 def oof_scores(fm: FeatureModel, family: Family, params: dict, data: DataFrame,
                id_col: str = "k", label_col: str = "y", fold_col: str = "fold",
-               weighted: bool = False, parallelism: int = 4, extra_stages: Sequence = (),
+               weighted: bool = False, parallelism: int = 8, extra_stages: Sequence = (),
                kind: str | None = None) -> DataFrame:
     """S3: every training row scored by the model fitted without its fold.
     Output (id, fold, y, p); each row appears exactly once."""

@@ -101,10 +101,29 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, n_splits: int =
         "_h", "_b", "_off")
 
 
-def bounded_sample(df: DataFrame, id_col: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """min(n, rows) pseudo-random rows -- a top-k on the hash key
-    (TakeOrderedAndProject: per-partition top n, no global sort)."""
-    return df.orderBy(hash_key(id_col, seed), F.col(id_col)).limit(n)
+def bounded_sample(df: DataFrame, id_col: str, n: int = 2000, seed: int = 42,
+                   oversample: float = 2.0) -> DataFrame:
+    """The first min(n, rows) rows in (md5(id:seed), id) order.
+
+    A plain ``orderBy().limit(n)`` moves n rows from *every* partition into
+    one task.  Instead a prefix of the hash order is cut out first: the top 48
+    bits of the md5 are uniform, so ``u < c * n / N`` keeps about c * n rows and
+    always keeps a prefix of the order; if fewer than n survive, c doubles.
+    The final top-n then runs on that small set.  Exact, whatever N is.
+    """
+    h = hash_key(id_col, seed)
+    top48 = F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
+    total = df.count()
+    if total <= n:
+        return df
+    span = float(16 ** 12)
+    frac = min(1.0, oversample * n / total)
+    while True:
+        cand = df.where(top48 < F.lit(int(frac * span)))
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
+    return cand.orderBy(h, F.col(id_col)).limit(n)
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:

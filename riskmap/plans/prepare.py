@@ -474,3 +474,44 @@ QUERIES = {
     "s04_bounded_sample": (s04_bounded_sample, S04_SQL),
     "s05_union_splits": (s05_union_splits, S05_SQL),
 }
+
+
+# -- A2-A4: sinks, checked by reading back what was written -----------------
+
+def _artifact_dir(spark, name: str) -> str:
+    import uuid
+    from riskmap.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskmap-artifacts/{name}-{uuid.uuid4().hex}"
+
+
+def a02_split_roundtrip(spark, sf):
+    """A2/A3: persist the keyed split partitioned by ``split``; reload the test
+    split (partition pruning reads only that directory)."""
+    from riskmap.sources.tables import load_split, save_splits
+    cf = fx.cust_features(spark, sf).select("k", "y")
+    path = _artifact_dir(spark, "splits")
+    save_splits(S.stratified_split(cf, "k", "y", 0.2, SEED), path)
+    return load_split(spark, path, "test").select("k", "y")
+
+
+A02_SQL = f"""WITH {CF_SQL}, {_split_sql('cf')}
+SELECT k, y FROM sp WHERE split = 'test'"""
+
+
+def a04_report_roundtrip(spark, sf):
+    """A4: write a result table as one CSV file and read it back with its schema."""
+    from riskmap.plans.evaluation import v17_topk_operating_points
+    from riskmap.sources.tables import write_report
+    res = v17_topk_operating_points(spark, sf)
+    path = _artifact_dir(spark, "topk")
+    write_report(res, path)
+    return spark.read.schema(res.schema).option("header", True).csv(path)
+
+
+def _a04_sql():
+    from riskmap.plans.evaluation import V17_SQL
+    return V17_SQL
+
+
+QUERIES["a02_split_roundtrip"] = (a02_split_roundtrip, A02_SQL)
+QUERIES["a04_report_roundtrip"] = (a04_report_roundtrip, _a04_sql())

@@ -144,10 +144,10 @@ class SegPrepared:
     """Positive-class standardized matrices, with and without geography columns."""
 
     def __init__(self, spark, sf: str):
-        cl = C.clean(fx.cust_features(spark, sf), SPEC)
+        cl = C.clean(fx.cust_features(spark, sf), SPEC).persist()
         self.cl = cl
         self.fm = E.fit_feature_model(cl, SPEC)
-        X = M.safe_matrix(self.fm, cl, keep=["k", "y"])
+        X = M.safe_matrix(self.fm, cl, keep=["k", "y"]).persist()
         self.all = X
         pos = X.where(F.col("y") == 1)
         names = self.fm.columns
