@@ -137,9 +137,11 @@ def fit_feature_model(df_clean: DataFrame, spec: RoleSpec,
     the medians); pass the training split for leak-free work.
     """
     require_outcome(df_clean, spec)
-    numeric = present(df_clean, spec.numeric_candidates)
-    passthrough = present(df_clean, spec.passthrough)
-    nominal = present(df_clean, spec.nominal)
+    # a column listed under two roles is used once, in its first role
+    numeric = list(dict.fromkeys(present(df_clean, spec.numeric_candidates)))
+    passthrough = [c for c in dict.fromkeys(present(df_clean, spec.passthrough)) if c not in numeric]
+    nominal = [c for c in dict.fromkeys(present(df_clean, spec.nominal))
+               if c not in numeric and c not in passthrough]
     fit_df = fit_rows if fit_rows is not None else df_clean
     # several jobs read the same columns: materialize them once for the fit
     fit_df = fit_df.select(*numeric, *passthrough, *nominal).persist()

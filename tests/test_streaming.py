@@ -14,10 +14,11 @@ def test_stream_scoring_matches_batch(spark, sf_small):
         "event_id", "value", (F.col("event_type") == "purchase").cast("double").alias("label"))
     model = Pipeline(stages=[VectorAssembler(inputCols=["value"], outputCol="features"),
                              LogisticRegression(maxIter=20)]).fit(ev)
-    stream = spark.readStream.schema(spark.read.parquet(f"{sf_small}/events.parquet").schema) \
-        .parquet(sf_small + "/events.parquet")
-    scored = score_stream(model, stream.select("event_id", "value"), ["event_id"])
     base = tempfile.mkdtemp(prefix="riskmap-stream-", dir="/tmp")
+    raw = spark.read.parquet(f"{sf_small}/events.parquet")
+    raw.write.parquet(os.path.join(base, "in"))          # a file source reads a directory
+    stream = spark.readStream.schema(raw.schema).parquet(os.path.join(base, "in"))
+    scored = score_stream(model, stream.select("event_id", "value"), ["event_id"])
     q = write_scores(scored, os.path.join(base, "out"), os.path.join(base, "ckpt"))
     q.awaitTermination(120)
     got = spark.read.parquet(os.path.join(base, "out")).select("event_id", "p")
