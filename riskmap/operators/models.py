@@ -154,15 +154,17 @@ def lr_kernel_family(gammas=(0.01, 0.05, 0.1), grid_C=(0.1, 1.0, 10.0), n_compon
                   extra=lambda p: [NystroemRBF(p["gamma"], n_components, FEATURES, "kfeatures", id_col)])
 
 
-def svm_rbf_family(gammas=(0.1,), grid_C=(1.0, 5.0), n_components: int = 300,
+def svm_rbf_family(gammas=("scale",), grid_C=(1.0, 5.0), n_components: int = 300,
                    id_col: str = "k") -> Family:
-    """M4 re-aimed: Nystroem RBF map + linear SVM ("SVM-RBF (Nystroem)")."""
+    """M4 re-aimed: Nystroem RBF map + linear SVM ("SVM-RBF (Nystroem)").
+    gamma 'scale' = 1 / (d * Var(X)) of the standardized training matrix."""
     from riskmap.operators.kernel import NystroemRBF
     grid = [{"gamma": g, "C": c} for g, c in itertools.product(gammas, grid_C)]
     return Family("SVM-RBF",
                   lambda p, n, w: linear_svm(p["C"], n, w).setFeaturesCol("kfeatures"),
                   True, "svm", grid,
-                  extra=lambda p: [NystroemRBF(p["gamma"], n_components, FEATURES, "kfeatures", id_col)])
+                  extra=lambda p: [NystroemRBF(0.0 if p["gamma"] == "scale" else p["gamma"],
+                                               n_components, FEATURES, "kfeatures", id_col)])
 
 
 def _score(model: PipelineModel, df: DataFrame, kind: str, keep: Sequence[str]) -> DataFrame:

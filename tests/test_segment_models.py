@@ -132,3 +132,10 @@ def test_crosstab_zero_cells_and_null_keys(spark):
     x = {r.p: r for r in G.crosstab_normalized(df, "p", "c", ["a", "b"]).collect()}
     assert x[0]["a"] == 1.0 and x[0]["b"] == 0.0 and x[1]["b"] == 1.0
     assert None not in x
+
+
+def test_gamma_scale(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(2.0, 3.0, size=(100, 4))
+    df = spark.createDataFrame([(Vectors.dense(x),) for x in X], ["features"])
+    assert KR.gamma_scale(df) == pytest.approx(1.0 / (4 * X.var()), rel=1e-9)
