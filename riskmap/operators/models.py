@@ -208,9 +208,14 @@ def fold_sizes(data: DataFrame, fold_col: str = "fold") -> dict[int, int]:
 
 def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str = "k",
                 label_col: str = "y", fold_col: str = "fold", weighted: bool = False,
-                parallelism: int = 8, extra_stages: Sequence = ()) -> tuple[DataFrame, dict]:
+                parallelism: int = 8, extra_stages: Sequence = (),
+                return_oof: bool = False):
     """M8: mean cross-validated average precision per grid point; best refit params.
 
+    With ``return_oof`` the validation scores of the best grid point are
+    returned too: they are its out-of-fold scores (S3) on the same folds, so no
+    extra fits are needed for threshold tuning.
+
     Fits run concurrently from driver threads (each fit is a distributed MLlib
     job); all validation scores are unioned into one long table and AP is
     computed for every (grid point, fold) in one job.  Ties go to the first
@@ -229,6 +234,7 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
                              float(total - sizes[k]), extra_stages)
         return s.select(F.lit(gi).alias("grid_id"), F.lit(k).alias("fold"), id_col, label_col, "p")
 
+
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         parts = list(ex.map(run, tasks))
     allv = parts[0]
@@ -243,8 +249,12 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
         [(r["grid_id"], str(family.grid[r["grid_id"]]), float(r["mean_ap"]) if r["mean_ap"] is not None else None,
           r["grid_id"] == best["grid_id"]) for r in rows],
         "grid_id int, params string, mean_ap double, best boolean")
-    data.unpersist()
-    return table, family.grid[best["grid_id"]]
+    if not return_oof:
+        data.unpersist()
+        return table, family.grid[best["grid_id"]]
+    # validation scores of the best point; the folds' models stay referenced
+    oof = allv.where(F.col("grid_id") == best["grid_id"]).select(id_col, "fold", label_col, "p")
+    return table, family.grid[best["grid_id"]], oof
 
 
 def oof_scores(fm: FeatureModel, family: Family, params: dict, data: DataFrame,

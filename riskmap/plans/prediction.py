@@ -53,7 +53,8 @@ class Prepared:
                 owner = False
         if owner:
             try:
-                self._searches[family.name + ":result"] = M.grid_search(self.fm, family, self.train)
+                self._searches[family.name + ":result"] = M.grid_search(
+                    self.fm, family, self.train, return_oof=True)
             finally:
                 ev.set()
         ev.wait()
@@ -142,14 +143,14 @@ def m07_platt_calibration(spark, sf):
 def m08_grid_search(spark, sf):
     """M8: LR grid by mean 5-fold average precision; best row flagged."""
     p = prepared(spark, sf)
-    table, _ = p.search(M.lr_family())
+    table, _, _ = p.search(M.lr_family())
     return table
 
 
 def m09_balanced_refit(spark, sf):
     """M9: refit at the searched C with balanced weights; metrics at 0.50."""
     p = prepared(spark, sf)
-    _, best = p.search(M.lr_family())
+    _, best, _ = p.search(M.lr_family())
     s = _test_scores(p, M.lr_family(), best, "LR (balanced)", weighted=True)
     plan = spark.createDataFrame([("LR - balanced (thr=0.50)", "LR (balanced)", 0.5)],
                                  "row string, model string, threshold double")
@@ -177,10 +178,12 @@ def results_table(spark, sf, families=None) -> DataFrame:
     fams = families or [M.lr_family(), M.lr_kernel_family(), M.svm_lin_family(), M.svm_rbf_family()]
 
     def one(fam):
-        _, best = p.search(fam)
-        none = _test_scores(p, fam, best, f"{fam.name} (none)")
-        bal = _test_scores(p, fam, best, f"{fam.name} (balanced)", weighted=True)
-        oof = M.oof_scores(p.fm, fam, best, p.train).withColumn("model", F.lit(f"{fam.name} (none)"))
+        _, best, oof = p.search(fam)
+        oof = oof.withColumn("model", F.lit(f"{fam.name} (none)"))      # S3 from the CV fits
+        with ThreadPoolExecutor(max_workers=2) as ex:
+            none_f = ex.submit(_test_scores, p, fam, best, f"{fam.name} (none)")
+            bal_f = ex.submit(_test_scores, p, fam, best, f"{fam.name} (balanced)", True)
+            none, bal = none_f.result(), bal_f.result()
         if fam.kind == "svm":              # M7: probabilities from Platt-calibrated margins
             a, b = M.platt_fit(oof)
             none, bal, oof = (M.platt_apply(x, a, b) for x in (none, bal, oof))
