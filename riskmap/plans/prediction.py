@@ -189,9 +189,9 @@ def results_table(spark, sf, families=None) -> DataFrame:
             none, bal, oof = (M.platt_apply(x, a, b) for x in (none, bal, oof))
         return [none, bal], V.tune_threshold(oof, "f1")
 
-    # families are independent: their fits are submitted concurrently
-    with ThreadPoolExecutor(max_workers=len(fams)) as ex:
-        done = list(ex.map(one, fams))
+    # one family at a time: each search already keeps the cluster busy with
+    # concurrent fits, and nesting more driver threads only thrashes the scheduler
+    done = [one(fam) for fam in fams]
     scores = [x for d in done for x in d[0]]
     tuned = [d[1] for d in done]
     allscores = scores[0]
