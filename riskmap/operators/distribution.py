@@ -160,7 +160,7 @@ def score_curve(scored: DataFrame, group_cols, score_col: str = "p",
 
 def exact_percentiles(df: DataFrame, group_cols, value_col: str,
                       probs: Sequence[float] | DataFrame,
-                      n_edges: int = DEFAULT_EDGES) -> DataFrame:
+                      n_edges: int = DEFAULT_EDGES, edges: list[float] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default rule), nulls ignored.
 
     ``probs`` is a list of q in [0, 1] or a DataFrame with columns (group...,
@@ -173,7 +173,8 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
         probs = probs.withColumn(_DUMMY, F.lit(0))
     base = (df.select(*g, F.col(value_col).cast("double").alias("_v"))
               .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    edges = quantile_edges(base, g, "_v", n_edges=n_edges)
+    if edges is None:
+        edges = quantile_edges(base, g, "_v", n_edges=n_edges)
     b = add_bucket(base, "_v", edges)
     totals = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     offs = _offsets(totals, g, ["n"], descending=False)
@@ -229,7 +230,7 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
 def threshold_counts(scored: DataFrame, group_cols, thresholds: DataFrame,
                      score_col: str = "p", label_col: str = "y",
                      threshold_col: str = "threshold", key_cols: Sequence[str] = (),
-                     n_edges: int = DEFAULT_EDGES) -> DataFrame:
+                     n_edges: int = DEFAULT_EDGES, edges: list[float] | None = None) -> DataFrame:
     """Counts of rows with score >= each threshold, in one pass over the rows.
 
     ``thresholds`` has group..., ``key_cols`` (identify the threshold, e.g.
@@ -253,7 +254,7 @@ def threshold_counts(scored: DataFrame, group_cols, thresholds: DataFrame,
     both = data.unionByName(marks)
     kcols = [f"_k{i}" for i in range(len(keys))]
     rs = running_sums(both, g, "_s", {"n": F.col("_n"), "pos": F.col("_pos")},
-                      descending=True, tie_col="_m", keep_cols=kcols, n_edges=n_edges)
+                      descending=True, tie_col="_m", keep_cols=kcols, n_edges=n_edges, edges=edges)
     out = rs.where(F.col("_m") == 1).select(
         *g, *kcols, F.col("_s").alias(threshold_col),
         F.col("cum_n").alias("flagged_n"), F.col("cum_pos").alias("tp"),

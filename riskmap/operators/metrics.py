@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmap.operators.distribution import (
-    _groups, exact_percentiles, score_curve, threshold_counts)
+    _groups, exact_percentiles, quantile_edges, score_curve, threshold_counts)
 
 F1_EPS = 1e-12
 
@@ -270,10 +270,12 @@ def topk_operating_points(scored: DataFrame, k_fracs: Sequence[float] = (0.1, 0.
     exceed k); precision = tp / max(1, flagged); recall = tp / max(1, positives)."""
     g = _groups(group_cols)
     qs = {float(1 - k): float(k) for k in k_fracs}
-    q = exact_percentiles(scored, g, score_col, list(qs))
+    # one set of bucket edges serves the quantiles and the counts
+    edges = quantile_edges(scored, g, score_col)
+    q = exact_percentiles(scored, g, score_col, list(qs), edges=edges)
     kmap = F.create_map(*[x for qq, kk in qs.items() for x in (F.lit(qq), F.lit(kk))])
     thr = q.select(*g, kmap[F.col("q")].alias("k_frac"), F.col("value").alias("threshold"))
-    tc = threshold_counts(scored, g, thr, score_col, label_col, key_cols=["k_frac"])
+    tc = threshold_counts(scored, g, thr, score_col, label_col, key_cols=["k_frac"], edges=edges)
     fl = F.col("flagged_n")
     return tc.select(
         *g, "k_frac", "threshold", fl.alias("flagged_n"),

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmap.operators.distribution import exact_percentiles, threshold_counts
+from riskmap.operators.distribution import exact_percentiles, quantile_edges, threshold_counts
 
 NEG_INF = float("-inf")
 
@@ -42,10 +42,10 @@ def targeting_table(scores: DataFrame, assignments: DataFrame, id_col: str = "id
 
 
 def _cut_thresholds(df: DataFrame, cuts: Sequence[float], score_col: str,
-                    all_rows_at_one: bool = True) -> DataFrame:
+                    all_rows_at_one: bool = True, edges: list[float] | None = None) -> DataFrame:
     """(cut, threshold): quantile at 1 - cut; cut 1.0 -> -inf (all rows)."""
     q = {float(1 - c): float(c) for c in cuts}
-    qs = exact_percentiles(df, [], score_col, list(q))
+    qs = exact_percentiles(df, [], score_col, list(q), edges=edges)
     kmap = F.create_map(*[x for qq, cc in q.items() for x in (F.lit(qq), F.lit(cc))])
     thr = qs.select(kmap[F.col("q")].alias("cut"), F.col("value").alias("threshold"))
     if all_rows_at_one:
@@ -61,12 +61,14 @@ def persona_mix_at_cuts(table: DataFrame, cuts: Sequence[float] = (0.05, 0.10, 0
 
     Every persona column is present (0 when absent from the flagged set).
     """
-    thr = _cut_thresholds(table, cuts, score_col)
+    edges = quantile_edges(table, [], score_col)        # shared by quantiles and counts
+    thr = _cut_thresholds(table, cuts, score_col, edges=edges)
     # marker rows: one per (persona, cut) -- n_personas x len(cuts)
     ptype = table.schema[persona_col].dataType
     marks = thr.select("cut", "threshold", F.explode(F.array(
         *[F.lit(i).cast(ptype) for i in range(n_personas)])).alias(persona_col))
-    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col, key_cols=["cut"])
+    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col, key_cols=["cut"],
+                          edges=edges)
     tot = tc.groupBy("cut").agg(
         F.sum("flagged_n").alias("flagged_n"), F.sum("tp").alias("tp"),
         F.sum("tot_pos").alias("pos"),
@@ -91,8 +93,9 @@ def precision_recall_vs_fraction(table: DataFrame, fractions: Sequence[float] |
     """Precision and recall when the top fraction f is targeted, for many f,
     in one pass (threshold = quantile at 1 - f, flag p >= threshold)."""
     fr = list(fractions) if fractions is not None else fraction_grid()
-    thr = _cut_thresholds(table, fr, score_col, all_rows_at_one=False)
-    tc = threshold_counts(table, [], thr, score_col, truth_col, key_cols=["cut"])
+    edges = quantile_edges(table, [], score_col)
+    thr = _cut_thresholds(table, fr, score_col, all_rows_at_one=False, edges=edges)
+    tc = threshold_counts(table, [], thr, score_col, truth_col, key_cols=["cut"], edges=edges)
     fl = F.col("flagged_n")
     return tc.select(F.col("cut").alias("fraction"), "threshold", fl.alias("flagged_n"),
                      (F.col("tp") / F.greatest(fl, F.lit(1))).alias("precision"),
@@ -105,11 +108,12 @@ def persona_targeting_summary(table: DataFrame, n_personas: int = 5, top_q: floa
                               prefix: str = "P") -> DataFrame:
     """Per persona -- population share, share of all positives, mean score,
     share of the top group (score >= quantile ``top_q`` over all rows)."""
-    thr = exact_percentiles(table, [], score_col, [top_q]).select(F.col("value").alias("threshold"))
+    edges = quantile_edges(table, [], score_col)
+    thr = exact_percentiles(table, [], score_col, [top_q], edges=edges).select(F.col("value").alias("threshold"))
     ptype = table.schema[persona_col].dataType
     marks = thr.select("threshold", F.explode(F.array(
         *[F.lit(i).cast(ptype) for i in range(n_personas)])).alias(persona_col))
-    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col)
+    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col, edges=edges)
     top = tc.select(persona_col, F.col("flagged_n").alias("top_n"))
     base = table.groupBy(persona_col).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(truth_col).cast("long")).alias("pos"),
