@@ -202,6 +202,15 @@ def fit_and_score(fm: FeatureModel, family: Family, params: dict, train: DataFra
     return model, _score(model, score, family.kind, keep)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a (small) score table to the shared checkpoint folder and cut its
+    lineage: later metrics then plan over a file scan, not over every model's
+    transform again."""
+    from riskmap.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fold_sizes(data: DataFrame, fold_col: str = "fold") -> dict[int, int]:
     return {r[0]: r[1] for r in data.groupBy(fold_col).count().collect()}   # k rows
 
@@ -232,7 +241,8 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
         va = data.where(F.col(fold_col) == k)
         _, s = fit_and_score(fm, family, p, tr, va, [id_col, label_col], weighted,
                              float(total - sizes[k]), extra_stages)
-        return s.select(F.lit(gi).alias("grid_id"), F.lit(k).alias("fold"), id_col, label_col, "p")
+        return materialize(s.select(F.lit(gi).alias("grid_id"), F.lit(k).alias("fold"),
+                                    id_col, label_col, "p"))
 
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -274,7 +284,7 @@ def oof_scores(fm: FeatureModel, family: Family, params: dict, data: DataFrame,
         va = data.where(F.col(fold_col) == k)
         _, s = fit_and_score(fm, fam, params, tr, va, [id_col, fold_col, label_col], weighted,
                              float(total - sizes[k]), extra_stages)
-        return s
+        return materialize(s)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         parts = list(ex.map(run, sorted(sizes)))

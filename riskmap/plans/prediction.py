@@ -76,7 +76,7 @@ def _test_scores(p: Prepared, family: M.Family, params: dict, name: str, weighte
     if weighted:
         train = M.class_weight_column(train)
     _, s = M.fit_and_score(p.fm, family, params, train, p.test, ["k", "y"], weighted, float(p.n_train))
-    return s.select("k", F.lit(name).alias("model"), "y", "p")
+    return M.materialize(s.select("k", F.lit(name).alias("model"), "y", "p"))
 
 
 def m01_logreg_coefficients(spark, sf):
