@@ -259,10 +259,10 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
         [(r["grid_id"], str(family.grid[r["grid_id"]]), float(r["mean_ap"]) if r["mean_ap"] is not None else None,
           r["grid_id"] == best["grid_id"]) for r in rows],
         "grid_id int, params string, mean_ap double, best boolean")
+    data.unpersist()
     if not return_oof:
-        data.unpersist()
         return table, family.grid[best["grid_id"]]
-    # validation scores of the best point; the folds' models stay referenced
+    # validation scores of the best point (checkpointed tables, no refit needed)
     oof = allv.where(F.col("grid_id") == best["grid_id"]).select(id_col, "fold", label_col, "p")
     return table, family.grid[best["grid_id"]], oof
 

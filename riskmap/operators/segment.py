@@ -168,7 +168,11 @@ def silhouette_exact(df: DataFrame, id_col: str, features_col: str, label_col: s
                 yield pd.DataFrame({"s": out})
 
     idx = spark.range(n).select(F.col("id").cast("long").alias("i")).repartition(max(1, min(partitions, n)))
-    res = idx.mapInPandas(part, "s double").agg(F.avg("s")).collect()[0][0]
+    try:
+        res = idx.mapInPandas(part, "s double").agg(F.avg("s")).collect()[0][0]
+    finally:
+        b_x.destroy()
+        b_l.destroy()
     return float(res)
 
 
