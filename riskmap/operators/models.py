@@ -211,13 +211,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def default_parallelism(spark, cap: int = 8) -> int:
+    """Concurrent fits: one per GB of driver heap, between 2 and ``cap``."""
+    raw = (spark.conf.get("spark.driver.memory", None) or "1g").strip().lower()
+    units = {"k": 1 / 1024 ** 2, "m": 1 / 1024, "g": 1.0, "t": 1024.0}
+    try:
+        gb = float(raw[:-1]) * units[raw[-1]] if raw[-1] in units else float(raw) / 1024 ** 3
+    except ValueError:
+        gb = 1.0
+    return max(2, min(cap, int(gb)))
+
+
 def fold_sizes(data: DataFrame, fold_col: str = "fold") -> dict[int, int]:
     return {r[0]: r[1] for r in data.groupBy(fold_col).count().collect()}   # k rows
 
 
 def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str = "k",
                 label_col: str = "y", fold_col: str = "fold", weighted: bool = False,
-                parallelism: int = 8, extra_stages: Sequence = (),
+                parallelism: int | None = None, extra_stages: Sequence = (),
                 return_oof: bool = False):
     """M8: mean cross-validated average precision per grid point; best refit params.
 
@@ -230,6 +241,8 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
     computed for every (grid point, fold) in one job.  Ties go to the first
     grid point.  Returns (table of grid_id, params, mean_ap; best params).
     """
+    if parallelism is None:
+        parallelism = default_parallelism(data.sparkSession)
     data = with_label(data, label_col).persist()
     sizes = fold_sizes(data, fold_col)
     total = sum(sizes.values())
@@ -269,10 +282,12 @@ def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str =
 
 def oof_scores(fm: FeatureModel, family: Family, params: dict, data: DataFrame,
                id_col: str = "k", label_col: str = "y", fold_col: str = "fold",
-               weighted: bool = False, parallelism: int = 8, extra_stages: Sequence = (),
+               weighted: bool = False, parallelism: int | None = None, extra_stages: Sequence = (),
                kind: str | None = None) -> DataFrame:
     """S3: every training row scored by the model fitted without its fold.
     Output (id, fold, y, p); each row appears exactly once."""
+    if parallelism is None:
+        parallelism = default_parallelism(data.sparkSession)
     data = with_label(data, label_col)
     sizes = fold_sizes(data, fold_col)
     total = sum(sizes.values())
