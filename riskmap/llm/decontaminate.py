@@ -262,10 +262,10 @@ win AS (SELECT DISTINCT item_id, n, g.k AS k FROM ig),
 dg AS (SELECT doc_id, n, {_SQL_GRAMS} AS g
        FROM (SELECT doc_id, w, n FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT dg.doc_id, dg.g.p AS p, dg.n AS n, win.item_id FROM dg JOIN win ON dg.n = win.n AND dg.g.k = win.k),
-at AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+marks AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
        FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
 SELECT dw.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN at USING (doc_id) LEFT JOIN it USING (doc_id)
+FROM dw LEFT JOIN marks USING (doc_id) LEFT JOIN it USING (doc_id)
 """

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskmap.llm.common import checkpointed, lower_ascii, table
+from riskmap.llm.common import checkpointed, lower_ascii, small, table
 
 BLOCK_BYTES = 4096
 KEYS_PER_BUCKET = 100_000
@@ -111,29 +111,38 @@ def identify(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK
     return out
 
 
-def dedup_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     named = identify(df, id_col, text_col, block_bytes)
     groups = named.groupBy("n_blocks", "name").agg(
         F.max("_id").alias("keep_id"), F.sum("_copies").alias("group_size"))
+    return named.join(groups, ["n_blocks", "name"])
+
+
+def dedup_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return (named.join(groups, ["n_blocks", "name"])
-            .withColumn("_copy", copy)
+    return (_grouped(df, id_col, text_col, block_bytes).withColumn("_copy", copy)
             .select(F.col("_id").alias(id_col), "keep_id", "group_size",
                     (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
                     F.col("_sha").alias("text_sha256")))
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of ``df``."""
-    kept = (dedup_decisions(df, id_col, text_col).where("kept")
-            .select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")))
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that stay, with all columns of ``df``.  The texts move only if the
+    dropped keys are too many to broadcast, or if rows repeat an id and a text."""
+    groups = checkpointed(_grouped(df, id_col, text_col, block_bytes)
+                          .select("_id", "_sha", "keep_id", "_copies"))
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    gone = checkpointed(groups.where(~stays).select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha")))
     sha = F.sha2(lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256)
-    return (df.withColumn("_row_sha", sha)
-            .join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id"))
-                  & (F.col("_row_sha") == F.col("_kept_sha")), "left_semi")
-            .dropDuplicates([id_col, "_row_sha"]).drop("_row_sha"))
+    rest = (df.withColumn("_row_sha", sha)
+            .join(small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id"))
+                  & (F.col("_row_sha") == F.col("_gone_sha")), "left_anti"))
+    if not groups.where(stays & (F.col("_copies") > 1)).isEmpty():
+        rest = rest.dropDuplicates([id_col, "_row_sha"])
+    return rest.drop("_row_sha")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,14 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmap.llm.common import checkpointed, map_text, table
+from riskmap.llm.common import checkpointed, map_text, small, table
 
 SHINGLE = 3
 THETA = 90
 SLACK = 2
 BAND_RATIO = 1.3
 COUNTERS = 64
-BROADCAST_ROWS = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -234,11 +233,6 @@ def _linked(theta: int):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The (checkpointed) frame, marked for broadcast if a count shows it bounded."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class _Verifier:
     """Exact checks of candidate pairs (a, b) of class representatives."""
 
