@@ -24,7 +24,7 @@ def present(df: DataFrame, cols: Iterable[str]) -> list[str]:
 def require_outcome(df: DataFrame, spec: RoleSpec) -> None:
     """A missing outcome is an error, not a skip."""
     if spec.outcome not in df.columns:
-        raise KeyError(f"Outcome column '{spec.outcome}' missing from cleaned dataframe")
+        raise KeyError(f"no outcome column {spec.outcome!r} in the cleaned table")
 
 
 def clean_columns(df: DataFrame, spec: RoleSpec) -> list:
@@ -65,7 +65,7 @@ def drop_roles(df: DataFrame, spec: RoleSpec, keep_id: bool = True) -> DataFrame
     return df.drop(*[c for c in df.columns if c in drop])
 
 
-def outcome_int(df: DataFrame, spec: RoleSpec, name: str | None = None):
+def outcome_int(spec: RoleSpec, name: str | None = None):
     """Outcome as int."""
     return F.col(spec.outcome).cast("int").alias(name or spec.outcome)
 
@@ -80,20 +80,9 @@ def exclude_by_substring(cols: Sequence[str], substrings: Sequence[str]) -> list
     return [c for c in cols if not any(s in c for s in substrings)]
 
 
-def filter_members(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    """C12."""
-    return df.where(F.col(col).isin(list(values)))
-
-
 def round_report(df: DataFrame, digits: int, cols: Sequence[str] | None = None) -> DataFrame:
     """Round at the report edge only."""
     cols = set(cols) if cols is not None else {
         f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if c in cols else F.col(f"`{c}`")
                        for c in df.columns])
-
-
-def prefix_columns(df: DataFrame, prefix: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """C14: rename pivoted columns to ``prefix + name``."""
-    cols = list(cols) if cols is not None else list(df.columns)
-    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in cols})

@@ -27,9 +27,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskmap.session import ensure_checkpoint_dir
+
 BUCKET = "_bkt"
 MAX_GROUPS = 512          # groups x n_edges doubles reach the driver
-DEFAULT_EDGES = 256
+FINE_EDGES = 4096         # quantiles asked for; large groups use them all
+MIN_EDGES = 256
+ROWS_PER_BUCKET = 2_000_000
+POOLED_EDGES = 8192       # at most this many split points, so offsets are groups x this
 APPROX_ACCURACY = 10000
 
 
@@ -52,32 +57,35 @@ def _grouped(df: DataFrame, group_cols) -> tuple[DataFrame, list[str], bool]:
     return df.withColumn(_DUMMY, F.lit(0)), [_DUMMY], True
 
 
-def quantile_edges(df: DataFrame, group_cols, value_col: str,
-                   n_edges: int = DEFAULT_EDGES,
+def quantile_edges(df: DataFrame, group_cols, value_col: str, n_edges: int | None = None,
                    max_groups: int = MAX_GROUPS) -> list[float]:
     """Sorted distinct split points pooled over the per-group approximate quantiles.
 
-    Pooling keeps one ``Bucketizer`` for all groups; every group's own
-    quantiles are among the splits, so its buckets are at least that fine.
+    A group contributes one split per ``ROWS_PER_BUCKET`` rows (``MIN_EDGES`` at
+    least, ``FINE_EDGES`` at most), unless ``n_edges`` fixes the number.  Pooling
+    keeps one ``Bucketizer`` for all groups; the pool is thinned evenly to
+    ``POOLED_EDGES``, so the offset tables stay bounded by groups x edges.
     """
     g = _groups(group_cols)
-    probs = [i / n_edges for i in range(1, n_edges)]
+    fine = n_edges or FINE_EDGES
+    probs = [i / fine for i in range(1, fine)]
     v = F.col(value_col).cast("double")
     agg = (df.select(*g, v.alias("_v"))
              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
              .groupBy(*g)
              .agg(F.percentile_approx("_v", probs, APPROX_ACCURACY).alias("_e"),
-                  F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+                  F.count(F.lit(1)).alias("_n")))
     rows = agg.limit(max_groups + 1).collect()
     if len(rows) > max_groups:
         raise ValueError(f"{len(rows)} groups exceed max_groups={max_groups}; "
                          "group by a low-cardinality key")
     edges: set[float] = set()
     for r in rows:
-        for x in (r["_e"] or []):
-            if x is not None and math.isfinite(x):
-                edges.add(float(x))
-    return sorted(edges)
+        own = [float(x) for x in (r["_e"] or []) if x is not None and math.isfinite(x)]
+        want = fine if n_edges else max(MIN_EDGES, r["_n"] // ROWS_PER_BUCKET)
+        edges.update(own[::max(1, fine // want)])
+    pooled = sorted(edges)
+    return pooled[::max(1, -(-len(pooled) // POOLED_EDGES))]
 
 
 def add_bucket(df: DataFrame, value_col: str, edges: list[float],
@@ -104,7 +112,7 @@ def _offsets(totals: DataFrame, g: list[str], measures: list[str],
 
 def running_sums(df: DataFrame, group_cols, order_col: str, measures: dict,
                  descending: bool = True, tie_col: str | None = None,
-                 keep_cols: Sequence[str] = (), n_edges: int = DEFAULT_EDGES,
+                 keep_cols: Sequence[str] = (), n_edges: int | None = None,
                  edges: list[float] | None = None) -> DataFrame:
     """Cumulative sums of ``measures`` in ``order_col`` order, per group.
 
@@ -118,7 +126,7 @@ def running_sums(df: DataFrame, group_cols, order_col: str, measures: dict,
     keys = [order_col] + ([tie_col] if tie_col else []) + list(keep_cols)
     base = df.select(*g, *keys, *[c.alias(m) for m, c in measures.items()])
     if edges is None:
-        edges = quantile_edges(base, g, order_col, n_edges=n_edges)
+        edges = quantile_edges(base, [] if dummy else g, order_col, n_edges=n_edges)
     b = add_bucket(base, order_col, edges)
     names = list(measures)
     distinct = b.groupBy(*g, BUCKET, *keys).agg(*[F.sum(m).alias(m) for m in names])
@@ -137,18 +145,28 @@ def running_sums(df: DataFrame, group_cols, order_col: str, measures: dict,
     return out.drop(_DUMMY) if dummy else out
 
 
-def score_curve(scored: DataFrame, group_cols, score_col: str = "p",
-                label_col: str = "y", n_edges: int = DEFAULT_EDGES) -> DataFrame:
-    """One row per (group, distinct score), scores descending.
+def score_counts(scored: DataFrame, group_cols, score_col: str = "p", label_col: str = "y") -> DataFrame:
+    """(group..., score, n, pos) in one scan, checkpointed: quantiles, curves and
+    counts at thresholds all read this table instead of the rows."""
+    ensure_checkpoint_dir(scored.sparkSession)
+    return (scored.where(F.col(score_col).isNotNull()).groupBy(*_groups(group_cols), score_col)
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("long")).alias("pos"))
+            .checkpoint(eager=True))
+
+
+def score_curve(scored: DataFrame, group_cols, score_col: str = "p", label_col: str = "y",
+                n_edges: int | None = None, counted: bool = False) -> DataFrame:
+    """One row per (group, distinct score), scores descending.  ``counted`` says that
+    ``scored`` is a ``score_counts`` table.
 
     Columns: group..., ``p``, ``n`` rows at p, ``pos`` positives at p, ``neg``,
     ``tp``/``fp`` = positives/negatives with score >= p, ``tot_pos``/``tot_neg``.
     """
     g = _groups(group_cols)
-    y = F.col(label_col).cast("long")
-    rs = running_sums(
-        scored.where(F.col(score_col).isNotNull()), g, score_col,
-        {"n": F.lit(1).cast("long"), "pos": y}, descending=True, n_edges=n_edges)
+    measures = ({"n": F.col("n"), "pos": F.col("pos")} if counted
+                else {"n": F.lit(1).cast("long"), "pos": F.col(label_col).cast("long")})
+    rs = running_sums(scored.where(F.col(score_col).isNotNull()), g, score_col, measures,
+                      descending=True, n_edges=n_edges)
     return rs.select(
         *g, F.col(score_col).alias("p"), "n", "pos",
         (F.col("n") - F.col("pos")).alias("neg"),
@@ -160,10 +178,11 @@ def score_curve(scored: DataFrame, group_cols, score_col: str = "p",
 
 def exact_percentiles(df: DataFrame, group_cols, value_col: str,
                       probs: Sequence[float] | DataFrame,
-                      n_edges: int = DEFAULT_EDGES, edges: list[float] | None = None) -> DataFrame:
+                      n_edges: int | None = None, edges: list[float] | None = None,
+                      weight_col: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default rule), nulls ignored.
 
-    ``probs`` is a list of q in [0, 1] or a DataFrame with columns (group...,
+    With ``weight_col`` a row stands for that many equal rows.  ``probs`` is a list of q in [0, 1] or a DataFrame with columns (group...,
     ``q``) for per-group probabilities.  Output: group..., ``q``, ``value``
     with value = x[lo] + (h - lo) * (x[hi] - x[lo]), h = (n - 1) q.
     Only rows in the buckets that hold a target rank are ranked.
@@ -171,12 +190,13 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
     df, g, dummy = _grouped(df, group_cols)
     if isinstance(probs, DataFrame) and dummy:
         probs = probs.withColumn(_DUMMY, F.lit(0))
-    base = (df.select(*g, F.col(value_col).cast("double").alias("_v"))
+    weight = F.col(weight_col) if weight_col else F.lit(1)
+    base = (df.select(*g, F.col(value_col).cast("double").alias("_v"), weight.cast("long").alias("_w"))
               .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     if edges is None:
-        edges = quantile_edges(base, g, "_v", n_edges=n_edges)
+        edges = quantile_edges(base, [] if dummy else g, "_v", n_edges=n_edges)
     b = add_bucket(base, "_v", edges)
-    totals = b.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    totals = b.groupBy(*g, BUCKET).agg(F.sum("_w").alias("n"))
     offs = _offsets(totals, g, ["n"], descending=False)
     ranges = (totals.join(offs, on=g + [BUCKET])
                     .select(*g, BUCKET, F.col("_off_n").alias("start"),
@@ -201,14 +221,15 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
                        "start", "end")
     cond = [F.col(f"rk.{c}") == F.col(f"_rg_{c}") for c in g] + [
         F.col("rk.r") >= F.col("start"), F.col("rk.r") < F.col("end")]
-    located = ranks.join(rg, on=cond, how="inner").select(
+    # bounded: groups x len(probs) x 2 ranks
+    located = F.broadcast(ranks).join(rg, on=cond, how="inner").select(
         *[F.col(f"rk.{c}").alias(c) for c in g], F.col("rk.q").alias("q"),
         F.col("rk.which").alias("which"), (F.col("rk.r") - F.col("start")).alias("r_in"),
         F.col("_rg_b").alias(BUCKET))
     need = located.select(*g, BUCKET).distinct()
     # bounded: at most groups x len(probs) x 2 buckets
     rows = b.join(F.broadcast(need), on=g + [BUCKET], how="left_semi")
-    dist = rows.groupBy(*g, BUCKET, "_v").agg(F.count(F.lit(1)).alias("c"))
+    dist = rows.groupBy(*g, BUCKET, "_v").agg(F.sum("_w").alias("c"))
     w = (Window.partitionBy(*g, BUCKET).orderBy("_v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dist = dist.withColumn("_cum", F.sum("c").over(w))
@@ -217,7 +238,7 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
     cond2 = [F.col(c) == F.col(f"_d_{c}") for c in g] + [
         F.col(BUCKET) == F.col("_d_b"),
         F.col("r_in") >= F.col("lo_in"), F.col("r_in") < F.col("hi_in")]
-    picked = located.join(dist, on=cond2, how="inner").select(*g, "q", "which", "_v")
+    picked = F.broadcast(located).join(dist, on=cond2, how="inner").select(*g, "q", "which", "_v")
     vals = picked.groupBy(*g, "q").agg(
         F.max(F.when(F.col("which") == 0, F.col("_v"))).alias("x_lo"),
         F.max(F.when(F.col("which") == 1, F.col("_v"))).alias("x_hi"))
@@ -230,42 +251,38 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
 def threshold_counts(scored: DataFrame, group_cols, thresholds: DataFrame,
                      score_col: str = "p", label_col: str = "y",
                      threshold_col: str = "threshold", key_cols: Sequence[str] = (),
-                     n_edges: int = DEFAULT_EDGES, edges: list[float] | None = None) -> DataFrame:
-    """Counts of rows with score >= each threshold, in one pass over the rows.
-
-    ``thresholds`` has group..., ``key_cols`` (identify the threshold, e.g.
-    k_frac) and ``threshold_col``.  Thresholds are merged into the score stream
-    as marker rows that sort after data rows of equal score, so the running
-    count at a marker is the number of rows with score >= threshold.
+                     weight_col: str | None = None, positive_col: str | None = None) -> DataFrame:
+    """Counts of rows with score >= each threshold, in one hash aggregate.
+
+    ``thresholds`` (a report plan: groups x cut-offs, a few rows) has group...,
+    ``key_cols`` and ``threshold_col``.  The distinct thresholds become the splits
+    of a ``Bucketizer``; rows are counted per (group, bucket), and suffix sums over
+    those few buckets give every count, without sorting any scores.  Pre-aggregated
+    rows give their row and positive counts in ``weight_col`` and ``positive_col``.
     Output: group..., key_cols..., threshold, ``flagged_n``, ``tp``, ``tot_pos``, ``n_total``.
     """
     scored, g, dummy = _grouped(scored, group_cols)
-    if dummy:
-        thresholds = thresholds.withColumn(_DUMMY, F.lit(0))
     keys = list(key_cols)
-    data = scored.where(F.col(score_col).isNotNull()).select(
-        *g, F.col(score_col).cast("double").alias("_s"), F.lit(0).alias("_m"),
-        F.lit(1).cast("long").alias("_n"), F.col(label_col).cast("long").alias("_pos"),
-        *[F.lit(None).cast("string").alias(f"_k{i}") for i in range(len(keys))])
-    marks = thresholds.select(
-        *g, F.col(threshold_col).cast("double").alias("_s"), F.lit(1).alias("_m"),
-        F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_pos"),
-        *[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)])
-    both = data.unionByName(marks)
-    kcols = [f"_k{i}" for i in range(len(keys))]
-    rs = running_sums(both, g, "_s", {"n": F.col("_n"), "pos": F.col("_pos")},
-                      descending=True, tie_col="_m", keep_cols=kcols, n_edges=n_edges, edges=edges)
-    out = rs.where(F.col("_m") == 1).select(
-        *g, *kcols, F.col("_s").alias(threshold_col),
-        F.col("cum_n").alias("flagged_n"), F.col("cum_pos").alias("tp"),
-        F.col("tot_pos").alias("tot_pos"), F.col("tot_n").alias("n_total"))
-    # restore the key columns' types from the thresholds table
-    tkeys = thresholds.select(*g, *keys, F.col(threshold_col).cast("double").alias(threshold_col)
-                              ).dropDuplicates()
-    o = out.select(*[F.col(c).alias(f"_o_{c}") for c in g], *kcols,
-                   F.col(threshold_col).alias("_o_t"), "flagged_n", "tp", "tot_pos", "n_total")
-    cond = [F.col(c) == F.col(f"_o_{c}") for c in g] + [F.col(threshold_col) == F.col("_o_t")] + [
-        F.col(k).cast("string").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    res = tkeys.join(o, on=cond, how="inner").select(
-        *g, *keys, threshold_col, "flagged_n", "tp", "tot_pos", "n_total")
+    plan = thresholds.select(*([] if dummy else g), *keys,
+                             F.col(threshold_col).cast("double").alias(threshold_col)).dropDuplicates()
+    if dummy:
+        plan = plan.withColumn(_DUMMY, F.lit(0))
+    cuts = sorted({r[0] for r in plan.select(threshold_col).distinct().collect()
+                   if r[0] is not None and math.isfinite(r[0])})
+    n = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    pos = F.col(positive_col or label_col).cast("long")
+    data = add_bucket(scored.where(F.col(score_col).isNotNull()).select(
+        *g, F.col(score_col).alias("_s"), n.alias("_n"), pos.alias("_pos")), "_s", cuts)
+    hist = data.groupBy(*g, BUCKET).agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"))
+    marked = add_bucket(plan, threshold_col, cuts)
+    marks = marked.select(*g, BUCKET, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_pos"))
+    both = hist.unionByName(marks.distinct()).groupBy(*g, BUCKET).agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"))
+    down = (Window.partitionBy(*g).orderBy(F.col(BUCKET).desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))  # thresholds + 2 rows a group
+    every = Window.partitionBy(*g)
+    sums = both.select(*g, BUCKET, F.sum("_n").over(down).alias("flagged_n"), F.sum("_pos").over(down).alias("tp"),
+                       F.sum("_pos").over(every).alias("tot_pos"), F.sum("_n").over(every).alias("n_total"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*g, BUCKET]]
+    res = marked.alias("m").join(sums.alias("s"), on=same).select(
+        *[F.col(f"m.{c}").alias(c) for c in [*g, *keys, threshold_col]], "flagged_n", "tp", "tot_pos", "n_total")
     return res.drop(_DUMMY) if dummy else res

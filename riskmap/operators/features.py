@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from riskmap.functions.columns import qcol
-from riskmap.operators.clean import present, require_outcome
+from riskmap.operators.clean import outcome_int, present, require_outcome
 from riskmap.operators.distribution import exact_percentiles
 from riskmap.spec import RoleSpec
 
 UNKNOWN = "unknown"
-MAX_LEVELS = 20000
+COLUMNS_PER_JOB = 128        # groups of one quantile job
 
 
 def level_expr(df: DataFrame, c: str):
@@ -49,10 +49,12 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Exact medians (mean of the two middle values), nulls ignored."""
     if not cols:
         return {}
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "feature", "value")
-    q = exact_percentiles(long, ["feature"], "value", [0.5])
-    got = {r["feature"]: r["value"] for r in q.collect()}   # one value per column
+    got = {}
+    for i in range(0, len(cols), COLUMNS_PER_JOB):          # any number of columns
+        part = list(cols[i:i + COLUMNS_PER_JOB])
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in part]).unpivot([], part, "feature", "value")
+        q = exact_percentiles(long, ["feature"], "value", [0.5])
+        got |= {r["feature"]: r["value"] for r in q.collect()}   # one value per column
     return {c: got.get(c) for c in cols}
 
 
@@ -62,11 +64,8 @@ def levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
         return {}
     long = df.select(*[level_expr(df, c).alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "level").distinct()
-    rows = long.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} one-hot levels; not a nominal column set")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    for r in long.toLocalIterator():        # the levels become the columns of the matrix
         out[r["feature"]].append(r["level"])
     return {c: sorted(v) for c, v in out.items()}
 
@@ -118,7 +117,7 @@ class FeatureModel:
         keep = list(keep) if keep is not None else present(df, [spec.id])
         head = [F.col(c) for c in keep]
         if spec.outcome in df.columns and spec.outcome not in keep:
-            head.append(F.col(spec.outcome).cast("int").alias(spec.outcome))
+            head.append(outcome_int(spec))
         return df.select(*head, *self.feature_columns(df))
 
     def to_long(self, df: DataFrame) -> DataFrame:
@@ -169,20 +168,6 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float,
     return {c: (r[3 * i], r[3 * i + 1], r[3 * i + 2]) for i, c in enumerate(cols)}
 
 
-def standardize(df: DataFrame, cols: Sequence[str], mom: dict, population: bool = True,
-                keep: Sequence[str] = ()) -> DataFrame:
-    """(x - mean) / std with std 0 -> 1; population std by default."""
-    out = [qcol(c) for c in keep]
-    others = [c for c in df.columns if c not in cols and c not in keep]
-    for c in cols:
-        m, sp, ss = mom[c]
-        sd = sp if population else ss
-        if sd is None or sd == 0 or (isinstance(sd, float) and math.isnan(sd)):
-            sd = 1.0
-        out.append(((qcol(c) - F.lit(m)) / F.lit(sd)).alias(c))
-    return df.select(*out, *[qcol(c) for c in others])
-
-
 class PopulationStandardScaler(Estimator, HasInputCol, HasOutputCol):
     """Vector standardizer with the population std (sklearn's convention).
 

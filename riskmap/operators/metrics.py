@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmap.operators.distribution import (
-    _groups, exact_percentiles, quantile_edges, score_curve, threshold_counts)
+    _groups, exact_percentiles, score_counts, score_curve, threshold_counts)
 
 F1_EPS = 1e-12
 
@@ -38,10 +38,10 @@ def _safe_div(num, den, zero=0.0):
 # -- V1 -----------------------------------------------------------------------
 
 def curve_points(scored: DataFrame, group_cols=("model",), score_col="p",
-                 label_col="y") -> DataFrame:
+                 label_col="y", counted: bool = False) -> DataFrame:
     """Distinct-score points with precision and recall (no final point)."""
     g = _groups(group_cols)
-    c = score_curve(scored, g, score_col, label_col)
+    c = score_curve(scored, g, score_col, label_col, counted=counted)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     rec = F.when(F.col("tot_pos") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("tot_pos"))
     return c.select(*g, F.col("p").alias("threshold"), "n", "pos", "neg", "tp", "fp",
@@ -121,11 +121,13 @@ def hard_prediction(score_col: str = "p", threshold=0.5):
 
 def confusion_counts(scored: DataFrame, thresholds: DataFrame, group_cols=("model",),
                      key_cols: Sequence[str] = (), score_col="p", label_col="y",
-                     threshold_col="threshold") -> DataFrame:
-    """V6-V8: tp, fp, fn, tn and precision/recall/F1/accuracy per threshold row."""
+                     threshold_col="threshold", counted: bool = False) -> DataFrame:
+    """V6-V8: tp, fp, fn, tn and precision/recall/F1/accuracy per threshold row, from
+    one hash aggregate (no sort); ``counted`` takes a ``score_counts`` table."""
     g = _groups(group_cols)
     tc = threshold_counts(scored, g, thresholds, score_col, label_col,
-                          threshold_col=threshold_col, key_cols=key_cols)
+                          threshold_col=threshold_col, key_cols=key_cols,
+                          **({"weight_col": "n", "positive_col": "pos"} if counted else {}))
     tp = F.col("tp")
     fp = F.col("flagged_n") - F.col("tp")
     fn = F.col("tot_pos") - F.col("tp")
@@ -159,7 +161,7 @@ def tune_threshold(scored: DataFrame, objective: str = "f1", min_precision: floa
                    points: DataFrame | None = None) -> DataFrame:
     """(group..., threshold) chosen on the curve points."""
     if objective not in ("f1", "recall_at_precision"):
-        raise ValueError(f"unknown objective {objective!r}")
+        raise ValueError(f"objective must be f1 or recall_at_precision, got {objective!r}")
     g = _groups(group_cols)
     pts = points if points is not None else curve_points(scored, g, score_col, label_col)
     P, R = F.col("precision"), F.col("recall")
@@ -192,11 +194,14 @@ def metrics_table(scored: DataFrame, plan: DataFrame, group_cols=("model",),
     once per model and joined to the plan (a handful of rows).
     """
     g = _groups(group_cols)
-    pts = curve_points(scored, g, score_col, label_col)
-    summ = curve_summary(scored, g, score_col, label_col, points=pts)
-    br = brier(scored, g, score_col, label_col)
+    counts = score_counts(scored, g, score_col, label_col)
+    pts = curve_points(counts, g, score_col, label_col, counted=True)
+    summ = curve_summary(counts, g, score_col, label_col, points=pts)
+    p = F.col(score_col)
+    br = counts.groupBy(*g).agg((F.sum(F.col("pos") * (p - 1) * (p - 1) + (F.col("n") - F.col("pos")) * p * p)
+                                 / F.sum("n")).alias("brier"))
     thr = plan.select(*g, F.col("threshold").cast("double").alias("threshold")).distinct()
-    conf = confusion_counts(scored, thr, g, score_col=score_col, label_col=label_col)
+    conf = confusion_counts(counts, thr, g, score_col=score_col, label_col=label_col, counted=True)
     out = (plan.select("row", *g, F.col("threshold").cast("double").alias("threshold"))
            .join(summ, on=g, how="left").join(br, on=g, how="left")
            .join(conf.drop("n"), on=g + ["threshold"], how="left"))
@@ -270,12 +275,12 @@ def topk_operating_points(scored: DataFrame, k_fracs: Sequence[float] = (0.1, 0.
     exceed k); precision = tp / max(1, flagged); recall = tp / max(1, positives)."""
     g = _groups(group_cols)
     qs = {float(1 - k): float(k) for k in k_fracs}
-    # one set of bucket edges serves the quantiles and the counts
-    edges = quantile_edges(scored, g, score_col)
-    q = exact_percentiles(scored, g, score_col, list(qs), edges=edges)
+    counts = score_counts(scored, g, score_col, label_col)   # the only scan of the rows
+    q = exact_percentiles(counts, g, score_col, list(qs), weight_col="n")
     kmap = F.create_map(*[x for qq, kk in qs.items() for x in (F.lit(qq), F.lit(kk))])
     thr = q.select(*g, kmap[F.col("q")].alias("k_frac"), F.col("value").alias("threshold"))
-    tc = threshold_counts(scored, g, thr, score_col, label_col, key_cols=["k_frac"], edges=edges)
+    tc = threshold_counts(counts, g, thr, score_col, label_col, key_cols=["k_frac"],
+                          weight_col="n", positive_col="pos")
     fl = F.col("flagged_n")
     return tc.select(
         *g, "k_frac", "threshold", fl.alias("flagged_n"),

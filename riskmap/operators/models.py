@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from riskmap.functions.columns import qcol
 from riskmap.operators.features import FeatureModel, PopulationStandardScaler
 from riskmap.operators.metrics import curve_summary
+from riskmap.operators.split import labelled
 
 FEATURES = "features"
 ROWS_PER_TASK = 200_000
@@ -58,12 +59,13 @@ def feature_stages(fm: FeatureModel, scale: bool, out: str = FEATURES) -> list:
 
 
 def class_weight_column(df: DataFrame, label_col: str = "y", out: str = "w") -> DataFrame:
-    """M2: 'balanced' weights n / (k * n_c) from a per-class count (k rows, broadcast)."""
+    """M2: 'balanced' weights n / (k * n_c) from a per-class count; a null label is an error."""
+    df = labelled(df, label_col)
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy(F.lit(0))
     wt = counts.select(label_col, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
                        .alias(out))
-    return df.join(F.broadcast(wt), on=label_col, how="inner")
+    return df.join(wt, on=label_col, how="inner")      # one row per class
 
 
 def logistic(C: float, weight_sum: float, weighted: bool = False, max_iter: int = 2000,

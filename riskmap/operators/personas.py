@@ -16,14 +16,15 @@ from riskmap.functions.columns import capitalize, qcol
 
 
 def cluster_means(df: DataFrame, cluster_col: str, feats: Sequence[str]) -> DataFrame:
-    """G1: mean of each listed feature per cluster; nulls skipped."""
+    """G1: mean of each listed feature per cluster; nulls skipped, and rows without a
+    cluster are left out (G1-G7 describe clusters)."""
     feats = [c for c in feats if c in df.columns]
-    return df.groupBy(cluster_col).agg(*[F.avg(qcol(c)).alias(c) for c in feats])
+    return df.where(F.col(cluster_col).isNotNull()).groupBy(cluster_col).agg(*[F.avg(qcol(c)).alias(c) for c in feats])
 
 
 def cluster_sizes(df: DataFrame, cluster_col: str) -> DataFrame:
     """N and share per cluster."""
-    g = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"))
+    g = df.where(F.col(cluster_col).isNotNull()).groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"))
     return g.select(cluster_col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
 
 
@@ -31,13 +32,13 @@ def crosstab_normalized(df: DataFrame, row_col: str, col_col: str,
                         levels: Sequence | None = None, prefix: str = "") -> DataFrame:
     """Row-normalised crosstab, wide; null keys dropped, absent cells 0.
 
-    ``levels`` fixes the pivot columns (no extra job to discover them).
+    Shares are of all rows of a row key; ``levels`` only says which columns are shown
+    (without it, every level: one more job to discover them).
     """
     d = df.where(F.col(row_col).isNotNull() & F.col(col_col).isNotNull())
-    piv = d.groupBy(row_col).pivot(col_col, list(levels) if levels is not None else None).count()
-    lv = [c for c in piv.columns if c != row_col]
-    tot = sum((F.coalesce(qcol(c), F.lit(0)) for c in lv), F.lit(0))
-    return piv.select(row_col, *[(F.coalesce(qcol(c), F.lit(0)) / tot).alias(f"{prefix}{c}") for c in lv])
+    lv = list(levels) if levels is not None else [r[0] for r in d.select(col_col).distinct().orderBy(col_col).collect()]
+    return d.groupBy(row_col).agg(*[
+        (F.count(F.when(F.col(col_col) == F.lit(v), 1)) / F.count(F.lit(1))).alias(f"{prefix}{v}") for v in lv])
 
 
 def crosstab_long(df: DataFrame, row_col: str, col_col: str, levels: Sequence) -> DataFrame:
@@ -59,6 +60,7 @@ def cluster_table(df: DataFrame, cluster_col: str, feats: Sequence[str], xt_col:
 def z_profile(df: DataFrame, cluster_col: str, feats: Sequence[str]) -> DataFrame:
     """(cluster mean - overall mean) / overall sample std, std 0 -> 1. Wide."""
     feats = [c for c in feats if c in df.columns]
+    df = df.where(F.col(cluster_col).isNotNull())
     means = cluster_means(df, cluster_col, feats)
     overall = df.agg(*[F.struct(F.avg(qcol(c)).alias("m"), F.stddev_samp(qcol(c)).alias("s")).alias(c)
                        for c in feats]).collect()[0]          # 2 x d scalars

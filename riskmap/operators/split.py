@@ -23,6 +23,13 @@ from riskmap.functions.columns import hash_bucket, hash_key
 HEX_DIGITS = 4
 
 
+def labelled(df: DataFrame, label_col: str) -> DataFrame:
+    """``df``, failing when a row without a label is read: it has no stratum."""
+    missing = F.raise_error(F.lit(f"null in label column {label_col}"))
+    kind = df.schema[label_col].dataType
+    return df.withColumn(label_col, F.coalesce(F.col(label_col), missing.cast(kind)))
+
+
 def class_allocation(counts: DataFrame, label_col: str, n_draw_col: str) -> DataFrame:
     """Largest-remainder allocation of draws over classes (sklearn's approximate mode).
 
@@ -66,7 +73,9 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
                      seed: int = 42, hex_digits: int = HEX_DIGITS,
                      split_col: str = "split") -> DataFrame:
     """Stratified hold-out.  n_test = ceil(test_size * n); train shares are
-    allocated first and the test share of each class is the rest (as sklearn)."""
+    allocated first and the test share of each class is the rest (as sklearn).
+    A null label is an error."""
+    df = labelled(df, label_col)
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     tot = Window.partitionBy(F.lit(0))
     n = F.sum("n_c").over(tot)
@@ -90,12 +99,16 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, n_splits: int =
     offset(bucket) + rank inside the bucket, so no window spans a class.
     """
     h = hash_key(id_col, seed)
-    rows = df.select("*", h.alias("_h")).select("*", hash_bucket("_h", hex_digits).alias("_b"))
+    rows = labelled(df, label_col).select("*", h.alias("_h")).select("*", hash_bucket("_h", hex_digits).alias("_b"))
     hist = rows.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    w_lab = Window.partitionBy(F.lit(0)).orderBy(label_col, "_b").rowsBetween(Window.unboundedPreceding, -1)
-    # classes x buckets rows: bounded by classes x 16^hex_digits
-    offs = hist.select(label_col, "_b", F.coalesce(F.sum("_nb").over(w_lab), F.lit(0)).alias("_off"))
-    j = rows.join(F.broadcast(offs), on=[label_col, "_b"])
+    inside = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)     # one row per class
+    classes = hist.groupBy(label_col).agg(F.sum("_nb").alias("_nc")).select(
+        label_col, F.coalesce(F.sum("_nc").over(before), F.lit(0)).alias("_first"))
+    offs = hist.select(label_col, "_b", F.coalesce(F.sum("_nb").over(inside), F.lit(0)).alias("_in")).join(
+        classes, label_col).select(label_col, "_b", (F.col("_first") + F.col("_in")).alias("_off"))
+    # classes x 16^hex_digits rows at most; Spark chooses the join by its size
+    j = rows.join(offs, on=[label_col, "_b"])
     rk = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col))
     return j.select("*", ((F.col("_off") + rk - 1) % n_splits).cast("int").alias(fold_col)).drop(
         "_h", "_b", "_off")
@@ -129,7 +142,3 @@ def bounded_sample(df: DataFrame, id_col: str, n: int = 2000, seed: int = 42,
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """S5."""
     return a.unionByName(b)
-
-
-def expected_test_size(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))

@@ -1,8 +1,10 @@
 """Targeting synthesis (G8-G13): scores joined with persona assignments.
 
-Score cut-offs are exact quantiles (``distribution.exact_percentiles``) and
-the counts at all cut-offs come from one pass with marker rows
-(``distribution.threshold_counts``) -- never one scan per cut-off.
+The rows are aggregated once to (persona, score) counts; exact quantiles
+(``distribution.exact_percentiles``) and the counts at all cut-offs
+(``distribution.threshold_counts``) both come from that table.  Totals are over
+all rows, whatever their persona (null and unlisted ones too); ``n_personas`` only
+says which personas are displayed.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmap.operators.distribution import exact_percentiles, quantile_edges, threshold_counts
+from riskmap.operators.distribution import exact_percentiles, score_counts, threshold_counts
 
 NEG_INF = float("-inf")
 
 
 def value_shares(df: DataFrame, key: str) -> DataFrame:
-    """Normalised value counts in key order."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    """Normalised value counts in key order; rows without a key are left out."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     tot = F.sum("n").over(Window.partitionBy(F.lit(0)))      # <= keys rows
     return g.select(key, "n", (F.col("n") / tot).alias("share")).orderBy(key)
 
@@ -41,17 +43,16 @@ def targeting_table(scores: DataFrame, assignments: DataFrame, id_col: str = "id
     return scores.join(assignments, on=id_col, how="inner")
 
 
-def _cut_thresholds(df: DataFrame, cuts: Sequence[float], score_col: str,
-                    all_rows_at_one: bool = True, edges: list[float] | None = None) -> DataFrame:
+def _cut_thresholds(counts: DataFrame, cuts: Sequence[float], score_col: str,
+                    all_rows_at_one: bool = True) -> list[tuple[float, float]]:
     """(cut, threshold): quantile at 1 - cut; cut 1.0 -> -inf (all rows)."""
     q = {float(1 - c): float(c) for c in cuts}
-    qs = exact_percentiles(df, [], score_col, list(q), edges=edges)
-    kmap = F.create_map(*[x for qq, cc in q.items() for x in (F.lit(qq), F.lit(cc))])
-    thr = qs.select(kmap[F.col("q")].alias("cut"), F.col("value").alias("threshold"))
-    if all_rows_at_one:
-        thr = thr.select("cut", F.when(F.col("cut") >= 1.0, F.lit(NEG_INF))
-                         .otherwise(F.col("threshold")).alias("threshold"))
-    return thr
+    found = exact_percentiles(counts, [], score_col, list(q), weight_col="n").collect()   # one row per cut
+    return [(q[r["q"]], NEG_INF if all_rows_at_one and q[r["q"]] >= 1.0 else r["value"]) for r in found]
+
+
+def _plan(spark, thresholds: list[tuple[float, float]]) -> DataFrame:
+    return spark.createDataFrame(thresholds, "cut double, threshold double")
 
 
 def persona_mix_at_cuts(table: DataFrame, cuts: Sequence[float] = (0.05, 0.10, 0.20, 0.30, 0.50, 1.00),
@@ -59,26 +60,25 @@ def persona_mix_at_cuts(table: DataFrame, cuts: Sequence[float] = (0.05, 0.10, 0
                         truth_col: str = "y", prefix: str = "P") -> DataFrame:
     """Flagged n, precision, recall and persona shares at each top-share cut.
 
-    Every persona column is present (0 when absent from the flagged set).
+    Counts and denominators cover every row; one column per displayed persona
+    (0 when absent from the flagged set).
     """
-    edges = quantile_edges(table, [], score_col)        # shared by quantiles and counts
-    thr = _cut_thresholds(table, cuts, score_col, edges=edges)
-    # marker rows: one per (persona, cut) -- n_personas x len(cuts)
-    ptype = table.schema[persona_col].dataType
-    marks = thr.select("cut", "threshold", F.explode(F.array(
-        *[F.lit(i).cast(ptype) for i in range(n_personas)])).alias(persona_col))
-    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col, key_cols=["cut"],
-                          edges=edges)
-    tot = tc.groupBy("cut").agg(
-        F.sum("flagged_n").alias("flagged_n"), F.sum("tp").alias("tp"),
-        F.sum("tot_pos").alias("pos"),
-        *[F.sum(F.when(F.col(persona_col) == i, F.col("flagged_n")).otherwise(0)).alias(f"_f{i}")
-          for i in range(n_personas)])
+    counts = score_counts(table, [persona_col], score_col, truth_col)
+    plan = _plan(table.sparkSession, _cut_thresholds(counts, cuts, score_col))
+    shown = F.col(persona_col)
+    for i in range(n_personas):
+        counts = counts.withColumn(f"_n{i}", F.when(shown == i, F.col("n")).otherwise(0))
+    kw = dict(score_col=score_col, key_cols=["cut"], weight_col="n")
+    tot = threshold_counts(counts, [], plan, positive_col="pos", **kw)
+    parts = [threshold_counts(counts, [], plan, positive_col=f"_n{i}", **kw)
+             .select("cut", F.col("tp").alias(f"_f{i}")) for i in range(n_personas)]
+    for part in parts:
+        tot = tot.join(part, "cut")
     fl = F.col("flagged_n")
     return tot.select(
         F.col("cut").alias("top_share"), fl.alias("flagged_n"),
         F.when(fl > 0, F.col("tp") / fl).otherwise(F.lit(0.0)).alias("precision"),
-        (F.col("tp") / F.greatest(F.col("pos"), F.lit(1))).alias("recall"),
+        (F.col("tp") / F.greatest(F.col("tot_pos"), F.lit(1))).alias("recall"),
         *[F.when(fl > 0, F.col(f"_f{i}") / fl).otherwise(F.lit(0.0)).alias(f"{prefix}{i}")
           for i in range(n_personas)])
 
@@ -93,9 +93,9 @@ def precision_recall_vs_fraction(table: DataFrame, fractions: Sequence[float] |
     """Precision and recall when the top fraction f is targeted, for many f,
     in one pass (threshold = quantile at 1 - f, flag p >= threshold)."""
     fr = list(fractions) if fractions is not None else fraction_grid()
-    edges = quantile_edges(table, [], score_col)
-    thr = _cut_thresholds(table, fr, score_col, all_rows_at_one=False, edges=edges)
-    tc = threshold_counts(table, [], thr, score_col, truth_col, key_cols=["cut"], edges=edges)
+    counts = score_counts(table, [], score_col, truth_col)
+    plan = _plan(table.sparkSession, _cut_thresholds(counts, fr, score_col, all_rows_at_one=False))
+    tc = threshold_counts(counts, [], plan, score_col, key_cols=["cut"], weight_col="n", positive_col="pos")
     fl = F.col("flagged_n")
     return tc.select(F.col("cut").alias("fraction"), "threshold", fl.alias("flagged_n"),
                      (F.col("tp") / F.greatest(fl, F.lit(1))).alias("precision"),
@@ -105,30 +105,27 @@ def precision_recall_vs_fraction(table: DataFrame, fractions: Sequence[float] |
 def persona_targeting_summary(table: DataFrame, n_personas: int = 5, top_q: float = 0.90,
                               names: Mapping[int, str] | None = None, score_col: str = "p",
                               persona_col: str = "persona", truth_col: str = "y",
-                              prefix: str = "P") -> DataFrame:
-    """Per persona -- population share, share of all positives, mean score,
-    share of the top group (score >= quantile ``top_q`` over all rows)."""
-    edges = quantile_edges(table, [], score_col)
-    thr = exact_percentiles(table, [], score_col, [top_q], edges=edges).select(F.col("value").alias("threshold"))
-    ptype = table.schema[persona_col].dataType
-    marks = thr.select("threshold", F.explode(F.array(
-        *[F.lit(i).cast(ptype) for i in range(n_personas)])).alias(persona_col))
-    tc = threshold_counts(table, [persona_col], marks, score_col, truth_col, edges=edges)
-    top = tc.select(persona_col, F.col("flagged_n").alias("top_n"))
-    base = table.groupBy(persona_col).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(truth_col).cast("long")).alias("pos"),
-        F.avg(score_col).alias("mean_pred_proba"))
+                              prefix: str = "P", positives_name: str = "positives_share",
+                              top_name: str = "top_share") -> DataFrame:
+    """Per displayed persona -- population share, share of all positives, mean
+    score, share of the top group (score >= quantile ``top_q``), each of all rows."""
+    counts = score_counts(table, [persona_col], score_col, truth_col)
+    cut = exact_percentiles(counts, [], score_col, [top_q], weight_col="n").first()
+    top = F.col(score_col) >= F.lit(cut["value"] if cut else None)
+    n = F.col("n")
+    base = counts.groupBy(persona_col).agg(
+        F.sum("n").alias("_n"), F.sum("pos").alias("_pos"),
+        (F.sum(F.col(score_col) * n) / F.sum("n")).alias("mean_pred_proba"),
+        F.sum(F.when(top, n).otherwise(0)).alias("_top"))
+    total = counts.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.when(top, n)).alias("top")).first()
+    every = {k: max(1, int(total[k] or 0)) for k in ("n", "pos", "top")}
     allp = table.sparkSession.range(n_personas).select(
         F.col("id").cast(table.schema[persona_col].dataType).alias(persona_col))
-    j = allp.join(base, on=persona_col, how="left").join(top, on=persona_col, how="left")
-    w = Window.partitionBy(F.lit(0))                 # n_personas rows
-    out = j.select(
+    share = lambda c, k: F.coalesce(F.col(c), F.lit(0)) / F.lit(every[k])
+    out = allp.join(base, on=persona_col, how="left").select(
         F.concat(F.lit(prefix), F.col(persona_col).cast("string")).alias("persona"),
-        (F.coalesce(F.col("n"), F.lit(0)) / F.sum("n").over(w)).alias("population_share"),
-        (F.coalesce(F.col("pos"), F.lit(0)) / F.greatest(F.sum("pos").over(w), F.lit(1))).alias("food_insecure_share"),
-        F.col("mean_pred_proba"),
-        (F.coalesce(F.col("top_n"), F.lit(0)) / F.greatest(F.sum("top_n").over(w), F.lit(1))).alias("top10pct_share"),
-        F.col(persona_col).alias("_pid"))
+        share("_n", "n").alias("population_share"), share("_pos", "pos").alias(positives_name),
+        F.col("mean_pred_proba"), share("_top", "top").alias(top_name), F.col(persona_col).alias("_pid"))
     if names is not None:
         out = attach_names(out, "_pid", dict(names))
     return out.drop("_pid")

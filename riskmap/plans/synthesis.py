@@ -30,12 +30,13 @@ EVENT_NAME_RULES = (
 # ---------------------------------------------------------------------------
 
 ASSIGNED_SQL = """
-asg AS (SELECT event_id AS id, CAST((event_id * 31) % 5 AS INTEGER) AS persona,
-               CAST(event_id % 2 AS INTEGER) AS cluster FROM events),
+asg AS (SELECT event_id AS id,
+               CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST((event_id * 31) % 7 AS INTEGER) END AS persona,
+               CAST(event_id % 3 AS INTEGER) AS cluster FROM events),
 pf AS (
   SELECT a.id, a.persona, a.cluster, e.value, CAST(hour(e.ts) AS INTEGER) AS hour,
          CAST(e.event_type = 'click' AS INTEGER) AS is_click
-  FROM asg a JOIN events e ON e.event_id = a.id
+  FROM asg a JOIN events e ON e.event_id = a.id WHERE a.persona IS NOT NULL
 )"""
 
 TGT_SQL = f"""{SCORED_SQL}, {ASSIGNED_SQL},
@@ -172,7 +173,7 @@ def g08_value_shares(spark, sf):
 
 G08_SQL = f"""WITH {ASSIGNED_SQL}
 SELECT persona, CAST(count(*) AS BIGINT) AS n, {sql_q6('count(*) / sum(count(*)) OVER ()')} AS share
-FROM asg GROUP BY persona"""
+FROM asg WHERE persona IS NOT NULL GROUP BY persona"""
 
 
 def g09_persona_names(spark, sf):
@@ -182,7 +183,7 @@ def g09_persona_names(spark, sf):
 
 G09_SQL = f"""WITH {ASSIGNED_SQL},
 lut(persona, name) AS (VALUES {', '.join(f"({k}, '{v}')" for k, v in PERSONA_NAMES.items())}),
-s AS (SELECT persona, count(*) AS n FROM asg GROUP BY persona)
+s AS (SELECT persona, count(*) AS n FROM asg WHERE persona IS NOT NULL GROUP BY persona)
 SELECT s.persona, CAST(s.n AS BIGINT) AS n, {sql_q6('s.n / sum(s.n) OVER ()')} AS share,
        coalesce(lut.name, '?') AS name
 FROM s LEFT JOIN lut ON lut.persona = s.persona"""
@@ -236,25 +237,27 @@ G12_SQL = _prf_sql()
 
 
 def g13_persona_targeting_summary(spark, sf):
-    return q6(T.persona_targeting_summary(_targeting(spark, sf), N_PERSONAS, 0.90, PERSONA_NAMES))
+    return q6(T.persona_targeting_summary(_targeting(spark, sf), N_PERSONAS, 0.90, PERSONA_NAMES,
+                                          positives_name="food_insecure_share", top_name="top10pct_share"))
 
 
 def _summary_sql():
     return f"""WITH {TGT_SQL}, {_quantile_sql(f"(0, {dbl(0.9)})", 'tgt')},
 lut(pid, name) AS (VALUES {', '.join(f"({k}, '{v}')" for k, v in PERSONA_NAMES.items())}),
 top AS (SELECT t.* FROM tgt t JOIN quant q ON t.p >= q.value),
+tot AS (SELECT count(*) AS n, sum(y) AS pos, (SELECT count(*) FROM top) AS top_n FROM tgt),
 per AS (
   SELECT p.pid, count(t.id) AS n, coalesce(sum(t.y), 0) AS pos, avg(t.p) AS mp,
          (SELECT count(*) FROM top WHERE top.persona = p.pid) AS top_n
   FROM range(0, {N_PERSONAS}) p(pid) LEFT JOIN tgt t ON t.persona = p.pid GROUP BY p.pid
 )
 SELECT 'P' || CAST(per.pid AS VARCHAR) AS persona,
-       {sql_q6('per.n / sum(per.n) OVER ()')} AS population_share,
-       {sql_q6('per.pos / greatest(sum(per.pos) OVER (), 1)')} AS food_insecure_share,
+       {sql_q6('per.n / tot.n')} AS population_share,
+       {sql_q6('per.pos / greatest(tot.pos, 1)')} AS food_insecure_share,
        {sql_q6('per.mp')} AS mean_pred_proba,
-       {sql_q6('per.top_n / greatest(sum(per.top_n) OVER (), 1)')} AS top10pct_share,
+       {sql_q6('per.top_n / greatest(tot.top_n, 1)')} AS top10pct_share,
        coalesce(lut.name, '?') AS name
-FROM per LEFT JOIN lut ON lut.pid = per.pid"""
+FROM per JOIN tot ON TRUE LEFT JOIN lut ON lut.pid = per.pid"""
 
 
 G13_SQL = _summary_sql()

@@ -119,11 +119,12 @@ def scored(spark: SparkSession, sf_dir: str, with_constant: bool = False) -> Dat
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, persona, cluster) assignment fixture."""
+    """(id, persona, cluster) assignment fixture: personas 0-6, some rows without one,
+    so reports that list five personas meet unlisted and null ones; clusters 0-2."""
     ev = read_table(spark, sf_dir, "events").select("event_id")
     eid = F.col("event_id")
-    return ev.select(eid.alias("id"), ((eid * 31) % 5).cast("int").alias("persona"),
-                     (eid % 2).cast("int").alias("cluster"))
+    persona = F.when(eid % 97 != 0, ((eid * 31) % 7).cast("int"))
+    return ev.select(eid.alias("id"), persona.alias("persona"), (eid % 3).cast("int").alias("cluster"))
 
 
 def labelings(spark: SparkSession, sf_dir: str) -> DataFrame:
