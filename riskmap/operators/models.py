@@ -173,27 +173,36 @@ def _score(model: PipelineModel, df: DataFrame, kind: str, keep: Sequence[str])
     return model.transform(df).select(*keep, positive_score(kind).alias("p"))
 
 
+def prepare_features(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
+                     extra_stages: Sequence = ()) -> PipelineModel:
+    """Every stage before the estimator, fitted on ``train``.  It depends on the
+    parameters only through ``family.extra`` (the kernel width), not on C."""
+    extra = list(extra_stages) + (family.extra(params) if family.extra else [])
+    return Pipeline(stages=feature_stages(fm, family.scale) + extra).fit(train)
+
+
+def solver_input(df: DataFrame, keep: Sequence[str], features: str, rows: float) -> DataFrame:
+    """Narrow cached vectors in about ``ROWS_PER_TASK`` rows per partition: each solver
+    iteration is one job over them.  The shuffle comes after feature preparation, so
+    that one keeps the parallelism of its input."""
+    keep = [c for c in dict.fromkeys(keep) if c in df.columns]
+    return (df.select(*keep, features)
+            .repartition(max(1, math.ceil(rows / ROWS_PER_TASK)), *keep[:1]).persist())
+
+
 def fit_pipeline(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
                  weighted: bool = False, weight_sum: float | None = None,
-                 extra_stages: Sequence = ()) -> PipelineModel:
-    """Fit feature stages, then the solver on cached, size-partitioned vectors."""
+                 extra_stages: Sequence = (), id_col: str = "k") -> PipelineModel:
+    """Fit feature stages, then the solver on narrow cached vectors."""
     n = weight_sum if weight_sum is not None else float(train.count())
-    pipe = build_pipeline(fm, family, params, n, weighted, extra_stages)
-    stages = pipe.getStages()
-    # feature stages first; the iterative solver then reads cached vectors
-    prep = Pipeline(stages=stages[:-1]).fit(train)
-    feats = prep.transform(train)
-    # each solver iteration is one job over every partition: size the
-    # partition count to the data (ROWS_PER_TASK rows each), never above the input's
-    want = max(1, int(math.ceil(n / ROWS_PER_TASK)))
-    if want < feats.rdd.getNumPartitions():
-        feats = feats.coalesce(want)
-    feats = feats.persist()
+    prep = prepare_features(fm, family, params, train, extra_stages)
+    est = family.make(params, n, weighted)
+    feats = solver_input(prep.transform(train), [id_col, "label", "w"], est.getFeaturesCol(), n)
     try:
-        est = stages[-1].fit(feats)
+        model = est.fit(feats)
     finally:
         feats.unpersist()
-    return PipelineModel(prep.stages + [est])
+    return PipelineModel(prep.stages + [model])
 
 
 def fit_and_score(fm: FeatureModel, family: Family, params: dict, train: DataFrame,
@@ -228,87 +237,90 @@ def fold_sizes(data: DataFrame, fold_col: str = "fold") -> dict[int, int]:
     return {r[0]: r[1] for r in data.groupBy(fold_col).count().collect()}   # k rows
 
 
-def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str = "k",
-                label_col: str = "y", fold_col: str = "fold", weighted: bool = False,
-                parallelism: int | None = None, extra_stages: Sequence = (),
-                return_oof: bool = False):
-    """M8: mean cross-validated average precision per grid point; best refit params.
-
-    With ``return_oof`` the validation scores of the best grid point are
-    returned too: they are its out-of-fold scores (S3) on the same folds, so no
-    extra fits are needed for threshold tuning.
+def cross_validated_scores(fm: FeatureModel, family: Family, grid: Sequence[dict], data: DataFrame,
+                           id_col: str = "k", label_col: str = "y", fold_col: str = "fold",
+                           weighted: bool = False, parallelism: int | None = None,
+                           extra_stages: Sequence = ()) -> DataFrame:
+    """(grid_id, fold, id, y, p): every row scored by models fitted without its fold.
 
-    Fits run concurrently from driver threads (each fit is a distributed MLlib
-    job); all validation scores are unioned into one long table and AP is
-    computed for every (grid point, fold) in one job.  Ties go to the first
-    grid point.  Returns (table of grid_id, params, mean_ap; best params).
+    Feature preparation (scaler, landmarks) depends on the fold and the kernel width
+    only, so it is fitted once per (fold, width) and all values of C read the same
+    cached vectors.  With ``weighted`` every fold's training part gets its own
+    balanced weights.  Preparations run concurrently from driver threads; each is a
+    set of distributed jobs, and its scores go to one checkpointed table.
     """
-    if parallelism is None:
-        parallelism = default_parallelism(data.sparkSession)
+    parallelism = parallelism or default_parallelism(data.sparkSession)
     data = with_label(data, label_col).persist()
     sizes = fold_sizes(data, fold_col)
     total = sum(sizes.values())
-    tasks = [(gi, p, k) for gi, p in enumerate(family.grid) for k in sorted(sizes)]
+    shared: dict[str, list[int]] = {}
+    for i, params in enumerate(grid):
+        shared.setdefault(str(params.get("gamma")) if family.extra else "", []).append(i)
 
     def run(task):
-        gi, p, k = task
-        tr = data.where(F.col(fold_col) != k)
-        va = data.where(F.col(fold_col) == k)
-        _, s = fit_and_score(fm, family, p, tr, va, [id_col, label_col], weighted,
-                             float(total - sizes[k]), extra_stages)
-        return materialize(s.select(F.lit(gi).alias("grid_id"), F.lit(k).alias("fold"),
-                                    id_col, label_col, "p"))
-
+        ids, fold = task
+        n = float(total - sizes[fold])
+        train = data.where(F.col(fold_col) != fold)
+        if weighted:
+            train = class_weight_column(train, label_col)
+        prep = prepare_features(fm, family, grid[ids[0]], train, extra_stages)
+        column = family.make(grid[ids[0]], n, weighted).getFeaturesCol()
+        feats = solver_input(prep.transform(train), [id_col, "label", "w"], column, n)
+        out = prep.transform(data.where(F.col(fold_col) == fold)).select(id_col, label_col, column)
+        names = out.columns
+        for i in ids:
+            model = family.make(grid[i], n, weighted).fit(feats)
+            out = model.transform(out).withColumn(f"p{i}", positive_score(family.kind)).select(
+                *names, *[f"p{j}" for j in ids if j <= i])
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("grid_id"), F.col(f"p{i}").alias("p")) for i in ids]))
+        scores = materialize(out.withColumn("s", pairs).select(
+            "s.grid_id", F.lit(fold).alias(fold_col), id_col, label_col, "s.p"))
+        feats.unpersist()
+        return scores
 
+    tasks = [(ids, fold) for ids in shared.values() for fold in sorted(sizes)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         parts = list(ex.map(run, tasks))
-    allv = parts[0]
-    for s in parts[1:]:
-        allv = allv.unionByName(s)
-    summ = curve_summary(allv, ["grid_id", "fold"], "p", label_col, floors=())
-    res = summ.groupBy("grid_id").agg(F.avg("pr_auc").alias("mean_ap")).orderBy("grid_id")
-    rows = res.collect()                                  # one row per grid point
+    data.unpersist()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def grid_search(fm: FeatureModel, family: Family, data: DataFrame, id_col: str = "k",
+                label_col: str = "y", fold_col: str = "fold", weighted: bool = False,
+                parallelism: int | None = None, extra_stages: Sequence = (),
+                return_oof: bool = False):
+    """M8: mean cross-validated average precision per grid point; best refit params.
+
+    With ``return_oof`` the validation scores of the best grid point are returned
+    too: they are its out-of-fold scores (S3) on the same folds.  AP of every (grid
+    point, fold) comes from one job.  Ties go to the first grid point.  Returns
+    (table of grid_id, params, mean_ap; best params).
+    """
+    allv = cross_validated_scores(fm, family, family.grid, data, id_col, label_col, fold_col,
+                                  weighted, parallelism, extra_stages)
+    summ = curve_summary(allv, ["grid_id", fold_col], "p", label_col, floors=())
+    rows = summ.groupBy("grid_id").agg(F.avg("pr_auc").alias("mean_ap")).orderBy("grid_id").collect()  # grid points
     best = max(rows, key=lambda r: (r["mean_ap"] if r["mean_ap"] is not None else -1.0, -r["grid_id"]))
-    spark = data.sparkSession
-    table = spark.createDataFrame(
+    table = data.sparkSession.createDataFrame(
         [(r["grid_id"], str(family.grid[r["grid_id"]]), float(r["mean_ap"]) if r["mean_ap"] is not None else None,
           r["grid_id"] == best["grid_id"]) for r in rows],
         "grid_id int, params string, mean_ap double, best boolean")
-    data.unpersist()
     if not return_oof:
         return table, family.grid[best["grid_id"]]
-    # validation scores of the best point (checkpointed tables, no refit needed)
-    oof = allv.where(F.col("grid_id") == best["grid_id"]).select(id_col, "fold", label_col, "p")
+    oof = allv.where(F.col("grid_id") == best["grid_id"]).select(id_col, fold_col, label_col, "p")
     return table, family.grid[best["grid_id"]], oof
 
 
 def oof_scores(fm: FeatureModel, family: Family, params: dict, data: DataFrame,
                id_col: str = "k", label_col: str = "y", fold_col: str = "fold",
-               weighted: bool = False, parallelism: int | None = None, extra_stages: Sequence = (),
-               kind: str | None = None) -> DataFrame:
+               weighted: bool = False, parallelism: int | None = None, extra_stages: Sequence = ()) -> DataFrame:
     """S3: every training row scored by the model fitted without its fold.
     Output (id, fold, y, p); each row appears exactly once."""
-    if parallelism is None:
-        parallelism = default_parallelism(data.sparkSession)
-    data = with_label(data, label_col)
-    sizes = fold_sizes(data, fold_col)
-    total = sum(sizes.values())
-    fam = family if kind is None else Family(family.name, family.make, family.scale, kind,
-                                             family.grid, family.extra)
-
-    def run(k):
-        tr = data.where(F.col(fold_col) != k)
-        va = data.where(F.col(fold_col) == k)
-        _, s = fit_and_score(fm, fam, params, tr, va, [id_col, fold_col, label_col], weighted,
-                             float(total - sizes[k]), extra_stages)
-        return materialize(s)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(run, sorted(sizes)))
-    out = parts[0]
-    for s in parts[1:]:
-        out = out.unionByName(s)
-    return out
+    return cross_validated_scores(fm, family, [params], data, id_col, label_col, fold_col, weighted,
+                                  parallelism, extra_stages).select(id_col, fold_col, label_col, "p")
 
 
 def platt_fit(margins: DataFrame, score_col: str = "p", label_col: str = "y") -> tuple[float, float]:

@@ -12,14 +12,18 @@ by (size desc, first centroid coordinate asc) before anything is reported.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, PCAModel, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +31,14 @@ from riskmap.operators.features import PopulationStandardScaler
 from riskmap.operators.split import bounded_sample
 
 SILHOUETTE_SAMPLE = 2000
+ROWS_PER_TASK = 50_000
 
 
-def deterministic_layout(df: DataFrame, id_col: str, partitions: int = 8) -> DataFrame:
-    """A fixed hash layout by id and sorted rows, cached for iterative fits."""
+def deterministic_layout(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
+    """A fixed hash layout by id and sorted rows, cached for iterative fits; about
+    ``ROWS_PER_TASK`` rows per partition unless the number is given."""
+    if partitions is None:
+        partitions = max(1, math.ceil(df.count() / ROWS_PER_TASK))
     return df.repartition(partitions, id_col).sortWithinPartitions(id_col).persist()
 
 
@@ -41,10 +49,14 @@ def standardize_all(df: DataFrame, features_col: str = "features", out: str = "s
 
 # -- K1, K2 ------------------------------------------------------------------
 
-def pca_variance(df: DataFrame, features_col: str = "std") -> list[float]:
-    """K1: explained-variance ratios of the full PCA (d values)."""
+def full_pca(df: DataFrame, features_col: str = "std", out: str = "pcs") -> PCAModel:
+    """K1: all d components, fitted once; the first m of them serve K3."""
     d = len(df.select(features_col).first()[0])
-    model = PCA(k=d, inputCol=features_col, outputCol="_pcs").fit(df)
+    return PCA(k=d, inputCol=features_col, outputCol=out).fit(df)
+
+
+def pca_variance(model: PCAModel) -> list[float]:
+    """K1: explained-variance ratios (d values)."""
     return [float(x) for x in model.explainedVariance.toArray()]
 
 
@@ -63,14 +75,14 @@ def variance_table(spark, ratios: Sequence[float], target: float = 0.80) -> Data
 
 # -- K3-K5 --------------------------------------------------------------------
 
-def pca_project(df: DataFrame, m: int, features_col: str = "std", out: str = "pca") -> PCAModel:
-    """K3: projection to m components (input is already mean-centred by E8)."""
-    return PCA(k=m, inputCol=features_col, outputCol=out).fit(df)
+def pca_project(model: PCAModel, m: int, out: str = "pca") -> PipelineModel:
+    """K3: projection to the first m components (input is already mean-centred by E8)."""
+    return PipelineModel([model, VectorSlicer(inputCol=model.getOutputCol(), outputCol=out, indices=list(range(m)))])
 
 
-def fixed_sign_components(model: PCAModel) -> np.ndarray:
+def fixed_sign_components(model: PCAModel, m: int) -> np.ndarray:
     """d x m loadings with each component's largest |loading| made positive."""
-    pc = model.pc.toArray().copy()
+    pc = model.pc.toArray()[:, :m].copy()
     for j in range(pc.shape[1]):
         i = int(np.argmax(np.abs(pc[:, j])))
         if pc[i, j] < 0:
@@ -78,9 +90,9 @@ def fixed_sign_components(model: PCAModel) -> np.ndarray:
     return pc
 
 
-def loadings_table(spark, model: PCAModel, names: Sequence[str]) -> DataFrame:
+def loadings_table(spark, model: PCAModel, m: int, names: Sequence[str]) -> DataFrame:
     """K4: long (feature, pc, loading)."""
-    pc = fixed_sign_components(model)
+    pc = fixed_sign_components(model, m)
     rows = [(names[i], f"PC{j + 1}", float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
     return spark.createDataFrame(rows, "feature string, pc string, loading double")
 
@@ -94,17 +106,39 @@ def top_loadings(loadings: DataFrame, pcs: Sequence[str] = ("PC1", "PC2", "PC3")
 
 # -- K6-K10 ------------------------------------------------------------------
 
+def kmeans_tolerance(df: DataFrame, k: int, features_col: str = "pca", relative: float = 1e-4) -> float:
+    """Movement per centre at which a fit stops: the squared movements of all centres
+    add up to ``relative`` times the mean variance of the columns."""
+    var = df.select(Summarizer.variance(F.col(features_col)).alias("v")).first()["v"]
+    mean = float(np.mean(var.toArray())) if var is not None and len(var) else 0.0
+    return math.sqrt(relative * mean / k)
+
+
+def kmeans_pool(df: DataFrame, runs: Sequence[tuple[int, int]], n_init: int = 20, features_col: str = "pca",
+                max_iter: int = 300, parallelism: int = 8) -> list[KMeansModel]:
+    """K6: for every (k, seed) the lowest-cost fit of ``n_init`` seeded restarts.  All
+    restarts of all runs share one pool of driver threads, so none waits at a barrier."""
+    tol = {k: kmeans_tolerance(df, k, features_col) for k in {k for k, _ in runs}}
+
+    def fit(task):
+        (k, seed), i = task
+        return KMeans(k=k, seed=seed + 7919 * i, featuresCol=features_col, maxIter=max_iter,
+                      tol=tol[k], predictionCol="cluster").fit(df)
+
+    tasks = [(run, i) for run in runs for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as ex:
+        models = list(ex.map(fit, tasks))
+    out = []
+    for r in range(len(runs)):
+        mine = models[r * n_init:(r + 1) * n_init]
+        out.append(mine[int(np.argmin([m.summary.trainingCost for m in mine]))])
+    return out
+
+
 def kmeans_best_of(df: DataFrame, k: int, n_init: int = 20, seed: int = 42,
                    features_col: str = "pca", max_iter: int = 300, parallelism: int = 8) -> KMeansModel:
-    """K6: the lowest-cost fit of ``n_init`` seeded restarts (run concurrently)."""
-    def fit(i):
-        km = KMeans(k=k, seed=seed + 7919 * i, featuresCol=features_col, maxIter=max_iter,
-                    tol=1e-6, predictionCol="cluster")
-        return km.fit(df)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as ex:
-        models = list(ex.map(fit, range(n_init)))
-    costs = [m.summary.trainingCost for m in models]
-    return models[int(np.argmin(costs))]
+    """K6 for one k."""
+    return kmeans_pool(df, [(k, seed)], n_init, features_col, max_iter, parallelism)[0]
 
 
 def canonical_labels(model: KMeansModel, df: DataFrame, features_col: str = "pca") -> dict[int, int]:
@@ -167,7 +201,7 @@ def silhouette_exact(df: DataFrame, id_col: str, features_col: str, label_col: s
                     out[r] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
                 yield pd.DataFrame({"s": out})
 
-    idx = spark.range(n).select(F.col("id").cast("long").alias("i")).repartition(max(1, min(partitions, n)))
+    idx = spark.range(0, n, 1, max(1, min(partitions, n))).select(F.col("id").cast("long").alias("i"))
     try:
         res = idx.mapInPandas(part, "s double").agg(F.avg("s")).collect()[0][0]
     finally:
@@ -176,24 +210,37 @@ def silhouette_exact(df: DataFrame, id_col: str, features_col: str, label_col: s
     return float(res)
 
 
+def silhouette_full(df: DataFrame, features_col: str, label_col: str) -> float | None:
+    """K8 on all rows: MLlib's squared-Euclidean silhouette, distributed and linear."""
+    if df.select(label_col).distinct().limit(2).count() < 2:
+        return None
+    return float(ClusteringEvaluator(featuresCol=features_col, predictionCol=label_col,
+                                     metricName="silhouette").evaluate(df))
+
+
 def kmeans_sweep(df: DataFrame, id_col: str, ks: Sequence[int] = range(2, 9), n_init: int = 20,
-                 seed: int = 42, features_col: str = "pca") -> tuple[DataFrame, dict]:
-    """K7: (k, inertia, silhouette) per k; returns the table and the fitted models."""
-    rows, models = [], {}
-    for k in ks:
-        m = kmeans_best_of(df, k, n_init, seed, features_col)
+                 seed: int = 42, features_col: str = "pca", parallelism: int = 8) -> tuple[DataFrame, dict]:
+    """K7: (k, inertia, silhouette, silhouette_full) per k; the table and the models.
+    ``silhouette`` is Euclidean on a bounded sample, ``silhouette_full`` covers all rows."""
+    fitted = kmeans_pool(df, [(int(k), seed) for k in ks], n_init, features_col, parallelism=parallelism)
+
+    def row(task):
+        k, m = task
         lab = m.transform(df).select(id_col, features_col, "cluster")
-        sil = silhouette_exact(lab, id_col, features_col, "cluster", SILHOUETTE_SAMPLE, seed)
-        rows.append((int(k), float(m.summary.trainingCost), sil))
-        models[int(k)] = m
-    t = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return t, models
+        return (int(k), float(m.summary.trainingCost),
+                silhouette_exact(lab, id_col, features_col, "cluster", SILHOUETTE_SAMPLE, seed),
+                silhouette_full(lab, features_col, "cluster"))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        rows = list(ex.map(row, zip(ks, fitted)))
+    t = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_full double")
+    return t, {int(k): m for k, m in zip(ks, fitted)}
 
 
-def best_k(sweep: DataFrame, cap: int | None = None) -> DataFrame:
-    """Argmax silhouette (ties to the smaller k), inside the cap if given."""
+def best_k(sweep: DataFrame, cap: int | None = None, metric: str = "silhouette") -> DataFrame:
+    """Argmax of ``metric`` (ties to the smaller k), inside the cap if given."""
     s = sweep if cap is None else sweep.where(F.col("k") <= cap)
-    return s.orderBy(F.desc("silhouette"), F.asc("k")).limit(1)
+    return s.orderBy(F.desc(metric), F.asc("k")).limit(1)
 
 
 # -- K11-K13 -----------------------------------------------------------------
@@ -201,14 +248,11 @@ def best_k(sweep: DataFrame, cap: int | None = None) -> DataFrame:
 def stability_labels(df: DataFrame, id_col: str, k: int, seeds: Sequence[int],
                      n_init: int = 20, features_col: str = "pca") -> DataFrame:
     """(id, run, label) for refits at k under several seeds."""
-    parts = []
-    for s in seeds:
-        m = kmeans_best_of(df, k, n_init, s, features_col)
-        parts.append(m.transform(df).select(id_col, F.lit(int(s)).alias("run"),
-                                            F.col("cluster").alias("label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    models = kmeans_pool(df, [(k, int(s)) for s in seeds], n_init, features_col)
+    out = None
+    for s, m in zip(seeds, models):
+        part = m.transform(df).select(id_col, F.lit(int(s)).alias("run"), F.col("cluster").alias("label"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -1,7 +1,7 @@
 """Registered prediction-track queries (M rows, S3, V14) on ``cust_features``.
 
 Model fitting is not SQL-expressible, so most of these have no DuckDB twin;
-``tests/test_models.py`` carries their invariants.  The class-weight table
+``tests/test_segment_models.py`` carries their invariants.  The class-weight table
 (M2) is plain SQL and is checked.
 """
 
@@ -18,7 +18,7 @@ from riskmap.operators import features as E
 from riskmap.operators import metrics as V
 from riskmap.operators import models as M
 from riskmap.operators import split as S
-from riskmap.plans.common import q6, sql_q6
+from riskmap.plans.common import SessionCache, q6, sql_q6
 from riskmap.plans.prepare import CF_SQL, FOLD_SEED, SEED, _split_sql
 from riskmap.sources import fixtures as fx
 from riskmap.spec import CUSTOMER_SPEC as SPEC
@@ -28,7 +28,7 @@ class Prepared:
     """Cleaned table, fitted feature model, and the keyed train/test matrices."""
 
     def __init__(self, spark, sf: str):
-        cl = C.clean(fx.cust_features(spark, sf), SPEC).persist()
+        cl = C.clean(fx.cust_features(spark, sf), SPEC)
         self.fm = E.fit_feature_model(cl, SPEC)          # parity: fitted on all rows
         # the feature matrix feeds the split, the folds and every fit
         X = M.safe_matrix(self.fm, cl, keep=["k", "y"]).persist()
@@ -61,14 +61,11 @@ class Prepared:
         return self._searches[family.name + ":result"]
 
 
-_CACHE: dict = {}
+_CACHE = SessionCache(Prepared)
 
 
 def prepared(spark, sf: str) -> Prepared:
-    key = (id(spark), sf)
-    if key not in _CACHE:
-        _CACHE[key] = Prepared(spark, sf)
-    return _CACHE[key]
+    return _CACHE(spark, sf)
 
 
 def _test_scores(p: Prepared, family: M.Family, params: dict, name: str, weighted: bool = False) -> DataFrame:
@@ -129,15 +126,23 @@ def m06_rf_importances(spark, sf):
     return M.importance_table(model, p.fm, 20)
 
 
+def _calibrated(p: Prepared, family: M.Family, params: dict, name: str, weighted: bool,
+                oof: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """M7: test scores and out-of-fold scores of an SVM as probabilities.  Each strategy
+    gets the sigmoid of its own out-of-fold margins: balanced weights move them."""
+    if oof is None:
+        oof = M.oof_scores(p.fm, family, params, p.train, weighted=weighted)
+    a, b = M.platt_fit(oof)
+    return M.platt_apply(_test_scores(p, family, params, name, weighted), a, b), M.platt_apply(oof, a, b)
+
+
 def m07_platt_calibration(spark, sf):
-    """M7: Platt sigmoid fitted on out-of-fold SVM margins, applied to test margins;
-    reported as the quantile-binned calibration table (V16)."""
+    """M7: Platt sigmoids of both strategies, fitted on out-of-fold margins and applied
+    to test margins; reported as the quantile-binned calibration table (V16)."""
     p = prepared(spark, sf)
     fam = M.svm_lin_family()
-    oof = M.oof_scores(p.fm, fam, {"C": 1.0}, p.train)
-    a, b = M.platt_fit(oof)
-    s = M.platt_apply(_test_scores(p, fam, {"C": 1.0}, "SVM-Lin (Platt)"), a, b)
-    return V.calibration_table(s)
+    parts = [_calibrated(p, fam, {"C": 1.0}, f"SVM-Lin ({s})", s == "balanced")[0] for s in ("none", "balanced")]
+    return V.calibration_table(parts[0].unionByName(parts[1]))
 
 
 def m08_grid_search(spark, sf):
@@ -179,15 +184,17 @@ def results_table(spark, sf, families=None) -> DataFrame:
 
     def one(fam):
         _, best, oof = p.search(fam)
-        oof = oof.withColumn("model", F.lit(f"{fam.name} (none)"))      # S3 from the CV fits
-        with ThreadPoolExecutor(max_workers=2) as ex:
-            none_f = ex.submit(_test_scores, p, fam, best, f"{fam.name} (none)")
-            bal_f = ex.submit(_test_scores, p, fam, best, f"{fam.name} (balanced)", True)
-            none, bal = none_f.result(), bal_f.result()
-        if fam.kind == "svm":              # M7: probabilities from Platt-calibrated margins
-            a, b = M.platt_fit(oof)
-            none, bal, oof = (M.platt_apply(x, a, b) for x in (none, bal, oof))
-        return [none, bal], V.tune_threshold(oof, "f1")
+        names = [f"{fam.name} ({s})" for s in ("none", "balanced")]
+        if fam.kind == "svm":
+            with ThreadPoolExecutor(max_workers=2) as ex:
+                jobs = [ex.submit(_calibrated, p, fam, best, n, w, o)
+                        for n, w, o in zip(names, (False, True), (oof, None))]
+                (none, oof), (bal, _) = (j.result() for j in jobs)
+        else:
+            with ThreadPoolExecutor(max_workers=2) as ex:
+                jobs = [ex.submit(_test_scores, p, fam, best, n, w) for n, w in zip(names, (False, True))]
+                none, bal = (j.result() for j in jobs)
+        return [none, bal], V.tune_threshold(oof.withColumn("model", F.lit(names[0])), "f1")
 
     # one family at a time: each search already keeps the cluster busy with
     # concurrent fits, and nesting more driver threads only thrashes the scheduler
