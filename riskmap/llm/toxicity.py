@@ -74,6 +74,17 @@ def subword_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
 
 
+def vocabulary_buckets(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket ids, starts and bucket counts of many words, a part at a time."""
+    parts, sizes = [], []
+    for i in range(0, len(words), step):
+        ids, starts = subword_buckets(words[i:i + step])
+        parts.append(ids.astype(np.int32))
+        sizes.append(np.diff(np.concatenate([starts, [len(ids)]])))
+    sizes = np.concatenate(sizes)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes
+
+
 def window_means(values: np.ndarray) -> np.ndarray:
     """Means of all runs of ``WINDOW`` values (of all values, if there are fewer)."""
     if len(values) <= WINDOW:
@@ -118,16 +129,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, seed: int = 7,
     if not texts or len(set(labels)) < 2:
         return SubwordSoftmax()
     index: dict[str, int] = {}
-    ids, doc_of = [], []
+    ids, filled = [], np.zeros(len(texts), dtype=np.int64)
     for d, text in enumerate(texts):
         own = [index.setdefault(w, len(index)) for w in words_of(text)]
         own += own[-1:] * (-len(own) % WINDOW) if own else []
-        ids += own
-        doc_of += [d] * (len(own) // WINDOW)
-    windows = np.array(ids, dtype=np.int64).reshape(-1, WINDOW)
-    doc_of, y = np.array(doc_of), np.array(labels, dtype=float)
-    grams, starts = subword_buckets(list(index))
-    sizes = np.diff(np.concatenate([starts, [len(grams)]]))
+        ids.append(np.array(own, dtype=np.int32))
+        filled[d] = len(own) // WINDOW
+    windows = np.concatenate(ids).reshape(-1, WINDOW)
+    if not len(windows):
+        return SubwordSoftmax()
+    doc_of, y = np.repeat(np.arange(len(texts), dtype=np.int32), filled), np.array(labels, dtype=float)
+    del ids
+    grams, starts, sizes = vocabulary_buckets(list(index))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -140,7 +153,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, seed: int = 7,
     for step in range(rounds):
         diff = soft[:, 1] - soft[:, 0]
         word = np.add.reduceat((emb @ diff)[grams], starts) / sizes
-        logit = word[windows].mean(axis=1) + bias
+        logit = sum(word[windows[:, k]] for k in range(WINDOW)) / WINDOW + bias
         if step < rounds // 8:  # every window under its document's label
             use, weight = slice(None), spread
         else:  # the worst window of each document
@@ -150,11 +163,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, seed: int = 7,
         g = weight * (1 / (1 + np.exp(-np.clip(logit[use], -500, 500))) - y[doc_of[use]])
         g /= weight.sum()
         per_word = np.bincount(windows[use].ravel(), weights=np.repeat(g / WINDOW, WINDOW), minlength=len(index))
+        per_bucket = np.zeros(1 << BITS)
         near = np.flatnonzero(per_word)
-        at = np.repeat(starts[near] - np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), sizes[near])
-        at += np.arange(len(at))
-        per_bucket = np.bincount(grams[at], weights=np.repeat(per_word[near] / sizes[near], sizes[near]),
-                                 minlength=1 << BITS)
+        for i in range(0, len(near), 50_000):  # a part of the words at a time
+            part = near[i:i + 50_000]
+            size = sizes[part]
+            at = np.repeat(starts[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+            at += np.arange(len(at))
+            per_bucket += np.bincount(grams[at], weights=np.repeat(per_word[part] / size, size), minlength=1 << BITS)
         grad_soft = emb.T @ per_bucket
         touched = np.flatnonzero(per_bucket)
         emb_sq[touched] += per_bucket[touched] ** 2 * float(diff @ diff)
@@ -171,8 +187,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, seed: int = 7,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> SubwordSoftmax:
     sample = labelled_sample(docs, labels, label, id_col, text_col, train_rows, train_bytes)
-    got = sorted((r["_lid"], r["y"], r["text"]) for r in sample.collect())  # <= train_rows rows, train_bytes
-    return fit([r[2] for r in got], [r[1] for r in got])
+    got = sample.orderBy("_lid", "text").collect()  # <= train_rows rows, train_bytes
+    texts, known = [r["text"] for r in got], [r["y"] for r in got]
+    del got
+    return fit(texts, known)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text",
