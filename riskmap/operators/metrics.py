@@ -186,15 +186,18 @@ METRIC_COLUMNS = ("threshold", "roc_auc", "pr_auc", "brier", "precision", "recal
 
 
 def metrics_table(scored: DataFrame, plan: DataFrame, group_cols=("model",),
-                  score_col="p", label_col="y", digits: int | None = None) -> DataFrame:
-    """One metrics row per plan row.
+                  score_col="p", label_col="y", digits: int | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
+    """One metrics row per plan row; ``counts`` takes an existing
+    ``score_counts`` table, so that tuning and metrics share one scan.
 
     ``plan`` has columns ``row`` (report label), the group columns and
     ``threshold``; several rows may share a model.  Curve metrics are computed
     once per model and joined to the plan (a handful of rows).
     """
     g = _groups(group_cols)
-    counts = score_counts(scored, g, score_col, label_col)
+    if counts is None:
+        counts = score_counts(scored, g, score_col, label_col)
     pts = curve_points(counts, g, score_col, label_col, counted=True)
     summ = curve_summary(counts, g, score_col, label_col, points=pts)
     p = F.col(score_col)

@@ -189,19 +189,22 @@ SELECT f.model, {sql_q6('coalesce(rp.threshold, f.threshold)')} AS threshold
 FROM f1thr f LEFT JOIN rp ON rp.model = f.model"""
 
 
-def _metrics_plan(spark, s):
-    tuned = M.tune_threshold(s, "f1")
-    half = s.select("model").distinct().select(
+def _metrics_plan(counts):
+    """0.50 and the F1-tuned threshold of every model, from its score counts; a few
+    rows, checkpointed because several steps read them."""
+    tuned = M.tune_threshold(counts, "f1", points=M.curve_points(counts, counted=True))
+    half = counts.select("model").distinct().select(
         F.concat(F.col("model"), F.lit(" (thr=0.50)")).alias("row"), "model",
         F.lit(0.5).alias("threshold"))
     tun = tuned.select(F.concat(F.col("model"), F.lit(" - F1-tuned thr")).alias("row"),
                        "model", "threshold")
-    return half.unionByName(tun)
+    return half.unionByName(tun).checkpoint(eager=True)
 
 
 def v13_metrics_table(spark, sf):
     s = fx.scored(spark, sf)
-    return q6(M.metrics_table(s, _metrics_plan(spark, s)))
+    counts = M.score_counts(s, ["model"])
+    return q6(M.metrics_table(s, _metrics_plan(counts), counts=counts))
 
 
 V13_SQL = f"""WITH {SCORED_SQL}, {PTS_SQL}, {SUMMARY_SQL}, {F1THR_SQL},
@@ -293,10 +296,12 @@ CANDIDATES = ("smooth (thr=0.50)", "ties (thr=0.50)", "signal (thr=0.50)")
 def v18_best_model_confusion(spark, sf):
     """Best candidate by F1 at 0.50, then its confusion at its tuned threshold."""
     s = fx.scored(spark, sf)
-    res = M.metrics_table(s, _metrics_plan(spark, s))
+    counts = M.score_counts(s, ["model"])
+    plan = _metrics_plan(counts)
+    res = M.metrics_table(s, plan, counts=counts)
     best = M.best_by_metric(res, CANDIDATES, "f1").select("model")
-    tuned = M.tune_threshold(s, "f1").join(best, on="model", how="inner")
-    conf = M.confusion_counts(s, tuned)
+    tuned = plan.where(~F.col("row").contains("(thr=")).select("model", "threshold").join(best, on="model")
+    conf = M.confusion_counts(counts, tuned, counted=True)
     return q6(M.confusion_frame(conf))
 
 

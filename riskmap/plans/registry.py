@@ -11,6 +11,7 @@ MODULES = (
     "riskmap.plans.prediction",
     "riskmap.plans.segmentation",
     "riskmap.plans.rollup",
+    "riskmap.plans.end_to_end",
 )
 
 

@@ -70,10 +70,23 @@ def test_pca_variance_and_components(spark):
     Z = rng.normal(size=(200, 5)) * np.array([5, 3, 1, 0.5, 0.1])
     df = spark.createDataFrame([(Vectors.dense(z),) for z in Z], ["features"])
     std = K.standardize_all(df, "features", "std")
-    ratios = K.pca_variance(std, "std")
+    model = K.full_pca(std, "std")
+    ratios = K.pca_variance(model)
     assert sum(ratios) == pytest.approx(1.0)
     m = K.components_for(ratios, 0.8)
     assert np.cumsum(ratios)[m - 1] >= 0.8 and (m == 1 or np.cumsum(ratios)[m - 2] < 0.8)
+    # K3: the projection is the first m columns of all components
+    rows = K.pca_project(model, m).transform(std).select("std", "pca").collect()
+    assert np.allclose([r.pca.toArray() for r in rows],
+                       [r.std.toArray() @ model.pc.toArray()[:, :m] for r in rows])
+    # K4, K5: fixed signs, the largest loadings first
+    names = [f"f{i}" for i in range(5)]
+    table = K.loadings_table(spark, model, m, names)
+    assert table.count() == 5 * m and all(
+        max((r.loading for r in table.where(F.col("pc") == f"PC{j + 1}").collect()), key=abs) > 0 for j in range(m))
+    top = K.top_loadings(table, ("PC1",), 2).collect()
+    assert len(top) == 2 and {abs(r.loading) for r in top} == set(
+        sorted((abs(r.loading) for r in table.where("pc = 'PC1'").collect()))[-2:])
 
 
 def test_nystroem_exact_when_all_rows_are_landmarks(spark):
@@ -161,3 +174,101 @@ def test_cv_validation_scores_are_oof_scores(spark):
     b = {r.k: r.p for r in ref.collect()}
     assert set(a) == set(b) and len(a) == 240
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6
+
+
+def test_crosstab_shares_cover_unlisted_levels(spark):
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (0, "c"), (1, "c")], "p int, c string")
+    x = {r.p: r.asDict() for r in G.crosstab_normalized(df, "p", "c", ["a", "b"]).collect()}
+    assert x == {0: {"p": 0, "a": 0.25, "b": 0.25}, 1: {"p": 1, "a": 0.0, "b": 0.0}}
+
+
+def test_null_labels_raise(spark):
+    from riskmap.operators import split as S
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "k long, y int")
+    for bad in (S.stratified_folds(df, "k", "y"), S.stratified_split(df, "k", "y"), M.class_weight_column(df)):
+        with pytest.raises(Exception, match="null in label column"):
+            bad.collect()
+
+
+def test_medians_of_more_columns_than_one_job_takes(spark):
+    from riskmap.operators import features as E
+    cols = [f"c{i}" for i in range(150)]
+    df = spark.createDataFrame([tuple(float(r * (i + 1)) for i in range(150)) for r in (1, 2, 5)], cols)
+    assert E.medians(df, cols) == {c: 2.0 * (i + 1) for i, c in enumerate(cols)}
+
+
+def test_kmeans_assignment_invariants(spark):
+    """Every row sits at its nearest centre, and centres are their rows' means."""
+    df, X, lab = _blobs(spark, seed=4)
+    df = K.deterministic_layout(df, "id")
+    assert df.rdd.getNumPartitions() == 1
+    model = K.kmeans_pool(df, [(2, 3), (3, 3)], n_init=3)[1]
+    rows = K.assign(model, df, K.canonical_labels(model, df), "persona").collect()
+    groups = {c: np.array([r.pca.toArray() for r in rows if r.persona == c]) for c in {r.persona for r in rows}}
+    centres = {c: v.mean(0) for c, v in groups.items()}
+    assert len(rows) == len(X) and sorted(map(len, groups.values()), reverse=True) == [len(groups[c]) for c in range(3)]
+    assert np.allclose(sorted(map(tuple, centres.values())), sorted(map(tuple, model.clusterCenters())), atol=1e-2)
+    for r in rows:
+        assert r.persona == min(centres, key=lambda c: ((r.pca.toArray() - centres[c]) ** 2).sum())
+
+
+def test_sweep_reports_both_silhouettes(spark):
+    df, X, lab = _blobs(spark, seed=6)
+    df = K.deterministic_layout(df, "id")
+    table, models = K.kmeans_sweep(df, "id", (2, 3, 4), n_init=3, parallelism=2)
+    rows = {r.k: r for r in table.collect()}
+    assert set(models) == {2, 3, 4} and rows[2].inertia > rows[3].inertia > rows[4].inertia
+    assert K.best_k(table).first().k == K.best_k(table, metric="silhouette_full").first().k == 3
+    assert K.best_k(table, cap=2).first().k == 2
+    labels = K.stability_labels(df, "id", 3, (5, 6), n_init=2)
+    assert K.mean_offdiag(K.ari_pairs(labels)).first()[0] == pytest.approx(1.0)
+
+
+def _imbalanced(spark, n=400):
+    from riskmap.operators import features as E
+    from riskmap.operators import split as S
+    from riskmap.spec import RoleSpec
+    rng = np.random.default_rng(21)
+    y = (rng.random(n) < 0.2).astype(int)
+    rows = [(i, int(t), float(rng.normal(1.2 * t)), float(rng.normal())) for i, t in enumerate(y)]
+    df = spark.createDataFrame(rows, "k long, y int, a double, b double")
+    spec = RoleSpec(outcome="y", ids=("k",), ordinal=("a", "b"))
+    fm = E.fit_feature_model(df, spec)
+    return fm, S.stratified_folds(M.safe_matrix(fm, df, ["k", "y"]), "k", "y", 5, 3, hex_digits=2).persist(), y.mean()
+
+
+def test_each_svm_strategy_has_its_own_sigmoid(spark):
+    """M3, M7: balanced weights move the margins; calibrated by their own out-of-fold
+    margins both strategies predict the positive rate on average."""
+    fm, data, rate = _imbalanced(spark)
+    margins = {w: M.oof_scores(fm, M.svm_lin_family(), {"C": 1.0}, data, weighted=w, parallelism=2).persist()
+               for w in (False, True)}
+    sigmoids = {w: M.platt_fit(d) for w, d in margins.items()}
+    mean = {(w, s): M.platt_apply(margins[w], *sigmoids[s]).agg(F.avg("p")).first()[0] for w in margins for s in margins}
+    assert mean[False, False] == pytest.approx(rate, abs=0.01) and mean[True, True] == pytest.approx(rate, abs=0.01)
+    assert mean[True, False] > rate + 0.05
+
+
+def test_search_best_is_the_argmax_and_balanced_weights_raise_scores(spark):
+    """Fold coverage, the flagged row, scores in [0, 1]."""
+    fm, data, rate = _imbalanced(spark)
+    table, best, oof = M.grid_search(fm, M.lr_family((0.01, 1.0)), data, return_oof=True, parallelism=2)
+    rows = table.collect()
+    top = max(rows, key=lambda r: (r.mean_ap, -r.grid_id))
+    assert [r.best for r in rows] == [r is top for r in rows] and str(best) == top.params
+    scores = oof.collect()
+    assert len({r.k for r in scores}) == len(scores) == 400 and all(0 <= r.p <= 1 for r in scores)
+    plain, balanced = (M.oof_scores(fm, M.lr_family(), best, data, weighted=w, parallelism=2).agg(F.avg("p")).first()[0]
+                       for w in (False, True))
+    assert plain == pytest.approx(rate, abs=0.02) and balanced > plain + 0.1
+
+
+def test_forest_importances_and_coefficients(spark):
+    """M6, M11, M12."""
+    fm, data, _ = _imbalanced(spark)
+    train = M.with_label(data)
+    forest = M.fit_pipeline(fm, M.rf_family(n_trees=20), {"max_depth": 4, "min_leaf": 1}, train)
+    imp = {r.feature: r.importance for r in M.importance_table(forest, fm).collect()}
+    assert sum(imp.values()) == pytest.approx(1.0) and imp["a"] > imp["b"]
+    coef = M.coefficient_table(M.fit_pipeline(fm, M.lr_family(), {"C": 1.0}, train), fm).collect()
+    assert [r.feature for r in coef][0] == "a" and coef[0].coef > 0 and coef[0].abs >= coef[1].abs
