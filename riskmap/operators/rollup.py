@@ -17,10 +17,13 @@ from riskmap.functions.columns import band
 
 
 def schema_check(df: DataFrame, dictionary: Sequence[tuple[str, str]]) -> DataFrame:
-    """Every documented column present with the documented type class.
+    """Every documented column against the table, types and values.
 
-    ``dictionary`` is (variable, type class) with classes int / float / string /
-    bool.  Output: variable, expected, actual (null when absent), ok.
+    ``dictionary`` is (variable, type class) with classes int / float / string / bool.
+    Output: variable, expected, actual (null when absent), n_rows, n_values (not null),
+    n_fit (values of the class: whole numbers, finite numbers, non-empty strings), ok
+    (present, of the class -- an int serves as a float -- and every value fits).  One
+    aggregate over the table.
     """
     def cls(dt) -> str:
         n = dt.typeName()
@@ -29,10 +32,29 @@ def schema_check(df: DataFrame, dictionary: Sequence[tuple[str, str]]) -> DataFr
         if n in ("double", "float", "decimal"):
             return "float"
         return {"boolean": "bool"}.get(n, n)
-    actual = {f.name: cls(f.dataType) for f in df.schema.fields}      # schema only, no data read
-    rows = [(v, t, actual.get(v), actual.get(v) == t or (t == "float" and actual.get(v) == "int"))
-            for v, t in dictionary]
-    return df.sparkSession.createDataFrame(rows, "variable string, expected string, actual string, ok boolean")
+
+    def fits(v: str, t: str) -> Column:
+        x = F.col(f"`{v}`")
+        if t == "string":
+            return F.length(x.cast("string")) > 0
+        if t == "bool":
+            return x.isNotNull()
+        d = x.cast("double")
+        finite = ~F.isnan(d) & (F.abs(d) < float("inf"))
+        return finite & (d == F.floor(d)) if t == "int" else finite
+
+    actual = {f.name: cls(f.dataType) for f in df.schema.fields}
+    rows = []
+    for v, t in dictionary:
+        there = v in actual
+        match = there and (actual[v] == t or (t == "float" and actual[v] == "int"))
+        values = F.count(F.col(f"`{v}`")) if there else F.lit(0).cast("long")
+        fit = F.count(F.when(fits(v, t), 1)) if there else F.lit(0).cast("long")
+        rows.append(F.struct(
+            F.lit(v).alias("variable"), F.lit(t).alias("expected"), F.lit(actual.get(v)).cast("string").alias("actual"),
+            F.count(F.lit(1)).alias("n_rows"), values.alias("n_values"), fit.alias("n_fit"),
+            (F.lit(bool(match)) & (values == fit)).alias("ok")))
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def member_rollup(df: DataFrame, key: str, counts: Mapping[str, Column],

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskmap.operators import rollup as D
 from riskmap.plans.common import dbl, q6, sql_q6
+from riskmap.plans.prepare import CF_SQL
 from riskmap.sources import fixtures as fx
 from riskmap.sources.tables import read_table
 
@@ -24,6 +25,24 @@ def d01_schema_check(spark, sf):
     return D.schema_check(fx.cust_features(spark, sf), CUST_DICTIONARY)
 
 
+def _dictionary_sql() -> str:
+    fit = {"int": "{v} = floor({v})", "float": "isfinite({v})", "string": "length({v}) > 0", "bool": "{v} IS NOT NULL"}
+    parts = []
+    for v, t in CUST_DICTIONARY:
+        if v == "poverty_ratio":
+            parts.append(f"SELECT '{v}' AS variable, '{t}' AS expected, CAST(NULL AS VARCHAR) AS actual, "
+                         "count(*) AS n_rows, CAST(0 AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS n_fit, FALSE AS ok FROM cf")
+        else:
+            ok = fit[t].format(v=v)
+            parts.append(f"SELECT '{v}' AS variable, '{t}' AS expected, '{t}' AS actual, count(*) AS n_rows, "
+                         f"count({v}) AS n_values, count(CASE WHEN {ok} THEN 1 END) AS n_fit, "
+                         f"count({v}) = count(CASE WHEN {ok} THEN 1 END) AS ok FROM cf")
+    return f"WITH {CF_SQL}\n" + "\nUNION ALL ".join(parts)
+
+
+D01_SQL = _dictionary_sql()
+
+
 def d02_order_rollup(spark, sf):
     """Per order -- lines, large / small quantity lines, any returned line."""
     li = read_table(spark, sf, "lineitem")
@@ -118,7 +137,7 @@ FROM orders"""
 
 
 QUERIES = {
-    "d01_schema_check": (d01_schema_check, None),
+    "d01_schema_check": (d01_schema_check, D01_SQL),
     "d02_order_rollup": (d02_order_rollup, D02_SQL),
     "d03_reference_attributes": (d03_reference_attributes, D03_SQL),
     "d04_event_rollup": (d04_event_rollup, D04_SQL),
