@@ -3,20 +3,21 @@
 A document's set holds its distinct word shingles (64-bit hashes).  Set sizes fall
 into bands.  In a band, two sets with Jaccard >= theta differ in at most H shingles,
 so the shingle universe is split by hash into segments whose weights add up to
-H + 1 + SLACK: a segment of weight 1 must agree exactly, one of weight 2 up to one
-shingle.  By the pigeonhole at least 1 + SLACK weight agrees, hence linked sets
+H + 1 + slack: a segment of weight 1 must agree exactly, one of weight 2 up to one
+shingle.  By the pigeonhole at least 1 + slack weight agrees, hence linked sets
 share a signature: the hash of a segment, or of a segment with one shingle deleted.
-How many segments get deletions is chosen per band by estimated cost (signatures
-plus expected chance candidates).  SLACK lets a set leave out the signatures of
-empty segments, which would meet by chance, as long as they weigh no more than
-SLACK.  A set emits its own band and, if it may have partners there, the next lower.
+The slack lets a set leave out the signatures of empty segments, which would meet by
+chance, as long as they weigh no more than the slack.  The slack and the number of
+segments with deletions are chosen per band by estimated cost (signatures plus
+expected chance candidates).  A set emits its own band and, if it may have partners there, the next lower.
 
 Sets that are equal form one class first.  Sets that share a signature are verified
-exactly, not as all pairs: first against one centre a signature (hot signatures cost
-a linear number of checks), components are formed, a second centre is tried, and
-then every member outside a signature's main component is checked against all its
-members.  Pairs left out lie in one component already, so the components are those
-of all links.
+exactly, not as all pairs: first against one centre a signature, the member whose
+signatures are most widely shared, so a group of copies of one text costs a linear
+number of checks.  Where the members of a centre still lie in several components,
+those outside the centre's component are compared with all its members, in blocks of
+bounded size that give back links only.  Pairs left out lie in one component already,
+so the components are those of all links.
 
 Broadcasts are made behind a count of their rows, with a shuffle join beyond it.
 Defined cases: documents without words have an empty set, link with nothing and are
@@ -39,9 +40,11 @@ from riskmap.llm.common import checkpointed, map_text, small, table
 
 SHINGLE = 3
 THETA = 90
-SLACK = 2
-BAND_RATIO = 1.3
+SLACKS = range(1, 49)
+BAND_RATIO = 1.5
 COUNTERS = 64
+SIGNATURE_ROWS = 6_000_000  # of a broadcast of single 8-byte signatures
+BLOCK_SHINGLES = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,11 +88,11 @@ def shingle_sets(texts: list, width: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 class Bands:
-    """Bands of set sizes and the segments of each: (segments, segments with deletions)."""
+    """Bands of set sizes and the plan of each: (segments, segments with deletions, slack)."""
 
-    def __init__(self, theta: int = THETA, counts: dict[int, int] | None = None, slack: int = SLACK,
+    def __init__(self, theta: int = THETA, counts: dict[int, int] | None = None,
                  largest: int = 1 << 34, deletions: int | None = None):
-        self.theta, self.slack = theta, slack
+        self.theta = theta
         self.smallest = max(1, -(-theta // (100 - theta)))  # smaller sets only link with equal ones
         self.low, self.high = [], []
         lo = self.smallest
@@ -103,26 +106,27 @@ class Bands:
         self.plan = [self._allocate(int(hi), counts.get(b, 0), deletions) for b, hi in enumerate(self.high)]
         self.segments = np.array([p[0] for p in self.plan], dtype=np.int64)
         self.deleting = np.array([p[1] for p in self.plan], dtype=np.int64)
+        self.slack = np.array([p[2] for p in self.plan], dtype=np.int64)
 
     def distance(self, hi: int) -> int:
         """Largest symmetric difference of a link whose smaller set has at most hi shingles."""
         return (hi + hi * 100 // self.theta) * (100 - self.theta) // (100 + self.theta)
 
-    def _allocate(self, hi: int, n: int, forced: int | None) -> tuple[int, int]:
-        weight = self.distance(hi) + 1 + self.slack
-        best = (math.inf, 1, 0)
-        for deleting in range(0, weight // 2 + 1) if forced is None else [min(forced, weight // 2)]:
-            m = weight - deleting
-            if m > 1 << 16 or deleting > 64 and forced is None:
-                if best[0] < math.inf:
-                    break
-            mean = hi / m
-            trivial = (m - deleting) * math.exp(-mean) + deleting * (2 + mean) * math.exp(-mean)
-            tail = trivial ** (self.slack + 1) / math.factorial(self.slack + 1)  # weighs more than the slack
-            cost = m + deleting * mean + n * min(1.0, tail) ** 2 * m
-            if cost < best[0]:
-                best = (cost, m, deleting)
-        return best[1], best[2]
+    def _allocate(self, hi: int, n: int, forced: int | None) -> tuple[int, int, int]:
+        best = (math.inf, 1, 0, 0)
+        for slack in SLACKS:
+            weight = self.distance(hi) + 1 + slack
+            for deleting in range(0, min(64, weight // 2) + 1) if forced is None else [min(forced, weight // 2)]:
+                m = weight - deleting
+                mean = hi / m
+                empty = math.exp(-mean)
+                trivial = (m - deleting) * empty + deleting * (2 + mean) * empty
+                # about the chance that they weigh more than the slack
+                over = math.exp(min(0.0, (slack + 1) * math.log(max(trivial, 1e-300)) - math.lgamma(slack + 2)))
+                cost = m + deleting * mean + n * over ** 2 * m
+                if cost < best[0]:
+                    best = (cost, m, deleting, slack)
+        return best[1:]
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         """Band of each size; -1 below the smallest."""
@@ -173,7 +177,7 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.n
             filled_two = np.bincount(g_doc[g_seg < k[g_doc]], minlength=len(sizes))
             lone = np.bincount(g_doc[(g_seg < k[g_doc]) & (size == 1)], minlength=len(sizes))
             weight = (m - filled) + (k - filled_two) + lone
-            for d in np.flatnonzero(use & (weight > bands.slack)):
+            for d in np.flatnonzero(use & (weight > bands.slack[np.maximum(band, 0)])):
                 mine = (g_doc == d)
                 meets = np.ones(m[d], dtype=bool)
                 meets[g_seg[mine & ~((g_seg < k[d]) & (size == 1))]] = False
@@ -194,7 +198,7 @@ def _describe(bands: Bands, width: int):
             order = np.argsort(docs, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))])
             cell = np.repeat(np.arange(len(texts)), sizes) * COUNTERS + (flat >> np.uint64(58)).astype(np.int64)
-            sketch = np.minimum(np.bincount(cell, minlength=len(texts) * COUNTERS), 65535).astype(np.uint16)
+            sketch = np.minimum(np.bincount(cell, minlength=len(texts) * COUNTERS), 255).astype(np.uint8)
             digest = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
             return [sizes.tolist(), digest,
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sigs[order].view(np.int64))),
@@ -214,7 +218,7 @@ def _near(theta: int):
             if not n:
                 continue
             a, b, x, y = (batch.column(k) for k in (2, 3, 4, 5))
-            rows = [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(n, COUNTERS).astype(np.int32) for c in (x, y)]
+            rows = [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(n, COUNTERS).astype(np.int32) for c in (x, y)]
             total = a.to_numpy() + b.to_numpy()
             ok = np.abs(rows[0] - rows[1]).sum(axis=1) <= total * (100 - theta) // (100 + theta)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
@@ -233,26 +237,42 @@ def _linked(theta: int):
     return run
 
 
+def _compare_blocks(theta: int):
+    """Links between the outsiders and the members of one pair of blocks."""
+    def run(rows):
+        import pandas as pd
+
+        members, outside = rows[rows["role"] == 1], rows[rows["role"] == 0]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["set"]]
+        found: dict[str, list] = {"a": [], "b": []}
+        if len(sets) and len(outside):
+            sizes = np.array([len(x) for x in sets])
+            words, index = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            ids, comps = members["_id"].to_numpy(), members["comp"].to_numpy()
+            for i, comp, x in zip(outside["_id"], outside["comp"], outside["set"]):
+                x = np.frombuffer(x, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+                mark = np.zeros(len(words), dtype=np.int64)
+                mark[at[words[at] == x]] = 1
+                both = np.add.reduceat(mark[index], starts)
+                for j in np.flatnonzero((100 * both >= theta * (len(x) + sizes - both)) & (comps != comp)):
+                    found["a"].append(min(i, ids[j]))
+                    found["b"].append(max(i, ids[j]))
+        return pd.DataFrame(found)
+    return run
+
+
 class _Verifier:
-    """Exact checks of candidate pairs (a, b) of class representatives."""
+    """Exact checks of class representatives."""
 
     def __init__(self, docs: DataFrame, known: DataFrame, width: int, theta: int):
         self.docs, self.known, self.width, self.theta = docs, known, width, theta
+        kind = known.schema["_id"].dataType
+        self.schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        facts = self.known.select("_id", "_n", "_sketch")
-        type_ = self.known.schema["_id"].dataType
-        schema = T.StructType([T.StructField("a", type_), T.StructField("b", type_)])
-        n, m = F.col("x._n"), F.col("y._n")
-        near = (pairs.join(facts.alias("x"), F.col("a") == F.col("x._id"))
-                .join(facts.alias("y"), F.col("b") == F.col("y._id"))
-                .where((n * 100 >= m * self.theta) & (m * 100 >= n * self.theta))
-                .select("a", "b", n.alias("n"), m.alias("m"), F.col("x._sketch").alias("p"), F.col("y._sketch").alias("q"))
-                .mapInArrow(_near(self.theta), schema))
-        near = checkpointed(near)
-        needed = checkpointed(near.select(F.col("a").alias("_id")).union(near.select("b")).distinct())
-        texts = self.docs.join(small(needed), "_id", "left_semi")
-
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(_id, set) of the ids in ``needed``, from their texts."""
         width = self.width
 
         def start():
@@ -261,11 +281,40 @@ class _Verifier:
                 return [[flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]]
             return fn
 
-        sets = map_text(texts, "_text", ["_id"], [T.StructField("_set", T.BinaryType())], start)
-        sets = checkpointed(sets)
-        full = (near.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("x")), "a")
-                .join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("y")), "b").select("a", "b", "x", "y"))
-        return full.mapInArrow(_linked(self.theta), schema).distinct()
+        texts = self.docs.join(small(checkpointed(needed.distinct())), "_id", "left_semi")
+        return map_text(texts, "_text", ["_id"], [T.StructField("set", T.BinaryType())], start)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The linked pairs among candidates (a, b)."""
+        facts = self.known.select("_id", "_n", "_sketch")
+        n, m = F.col("x._n"), F.col("y._n")
+        near = checkpointed(
+            pairs.join(facts.alias("x"), F.col("a") == F.col("x._id"))
+            .join(facts.alias("y"), F.col("b") == F.col("y._id"))
+            .where((n * 100 >= m * self.theta) & (m * 100 >= n * self.theta))
+            .select("a", "b", n.alias("n"), m.alias("m"), F.col("x._sketch").alias("p"), F.col("y._sketch").alias("q"))
+            .mapInArrow(_near(self.theta), self.schema))
+        sets = checkpointed(self.sets(near.select(F.col("a").alias("_id")).union(near.select("b"))))
+        full = (near.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("x")), "a")
+                .join(sets.select(F.col("_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y"))
+        return full.mapInArrow(_linked(self.theta), self.schema).distinct()
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        """Links between different components among the members (centre, _id, comp) of
+        each centre that involve a member outside the centre's own component."""
+        rows = rows.join(self.known.select("_id", "_n"), "_id")
+        main = rows.where("_id = centre").select("centre", F.col("comp").alias("main"))
+        parts = rows.groupBy("centre").agg(F.ceil(F.sum("_n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+        rows = rows.join(main, "centre").join(parts, "centre").select(
+            "centre", "_id", "comp", "parts", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int").alias("part"),
+            (F.col("comp") != F.col("main")).alias("outside"))
+        rows = rows.join(self.sets(rows.select("_id")), "_id")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        as_member = rows.select("centre", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"), "_id", "comp", "set")
+        as_outsider = rows.where("outside").select("centre", F.col("part").alias("i"), every.alias("j"),
+                                                   F.lit(0).alias("role"), "_id", "comp", "set")
+        return (as_member.unionByName(as_outsider).groupBy("centre", "i", "j")
+                .applyInPandas(_compare_blocks(self.theta), self.schema).distinct())
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -317,42 +366,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = small(classes.select(F.col("_class").alias("_id"), "_n", "_digest"))
     known = filled.join(heads, ["_id", "_n", "_digest"], "left_semi").dropDuplicates(["_id", "_n", "_digest"])
     listed = known.select("_id", F.explode("_sigs").alias("sig"))
-    shared = checkpointed(listed.groupBy("sig").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
-                          .where("lo <> hi").select("sig", F.col("lo").alias("centre")))
-    members = checkpointed(listed.join(small(shared), "sig").select("sig", "_id", "centre").distinct())
+    shared = checkpointed(listed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = checkpointed(listed.join(small(shared, SIGNATURE_ROWS), "sig").select("sig", "_id", "n"))
+    typical = members.groupBy("_id").agg(F.sum("n").alias("typical"))
+    centres = (members.select("sig", "_id").join(typical, "_id").groupBy("sig")
+               .agg(F.max_by("_id", F.struct("typical", "_id")).alias("centre")))
+    stars = checkpointed(members.select("sig", "_id").join(centres, "sig").select("centre", "_id").distinct())
     verify = _Verifier(docs, known, width, theta)
-    tried = checkpointed(members.where("_id <> centre").select(F.col("centre").alias("a"), F.col("_id").alias("b")).distinct())
-    links = checkpointed(verify.links(tried))
+    links = checkpointed(verify.links(stars.where("_id <> centre").select(
+        F.least("centre", "_id").alias("a"), F.greatest("centre", "_id").alias("b")).distinct()))
     roots = connected(links)
-
-    def labelled() -> DataFrame:
-        """Members of signatures that still span several components."""
-        named = (members.join(roots, F.col("_id") == F.col("node"), "left")
-                 .select("sig", "_id", F.coalesce("root", "_id").alias("comp")))
-        split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        return checkpointed(named.join(split.select("sig"), "sig", "left_semi"))
-
-    for last in (False, True):
-        open_ = labelled()
-        if open_.isEmpty():
-            break
-        if last:  # all outside the main component against all
-            main = (open_.groupBy("sig", "comp").count().groupBy("sig")
-                    .agg(F.max_by("comp", F.struct("count", "comp")).alias("main")))
-            left = open_.join(main, "sig").where("comp <> main").select("sig", F.col("_id").alias("a"), F.col("comp").alias("ca"))
-        else:  # a second centre
-            left = (open_.groupBy("sig").agg(F.max_by(F.struct("_id", "comp"), F.xxhash64("_id")).alias("c"))
-                    .select("sig", F.col("c._id").alias("a"), F.col("c.comp").alias("ca")))
-        right = open_.select("sig", F.col("_id").alias("b"), F.col("comp").alias("cb"))
-        pairs = (left.join(right, "sig").where("ca <> cb")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
-        pairs = checkpointed(pairs)
-        found = checkpointed(verify.links(pairs))
+    placed = (stars.join(roots, F.col("_id") == F.col("node"), "left")
+              .select("centre", "_id", F.coalesce("root", "_id").alias("comp")))
+    split = placed.groupBy("centre").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                         F.count(F.lit(1)).alias("n")).where("x <> y AND n > 2")
+    open_ = checkpointed(placed.join(split.select("centre"), "centre", "left_semi"))
+    if not open_.isEmpty():
+        found = checkpointed(verify.block_links(open_))
         if not found.isEmpty():
-            links = checkpointed(links.union(found))
-            roots = connected(links)
-        tried = tried.union(pairs)
+            roots = connected(links.union(found))
     named = (classes.join(roots, F.col("_class") == F.col("node"), "left")
              .select("_n", "_digest", F.coalesce("root", "_class").alias("_component")))
     return (every.select("_id", "_n", "_digest").join(named, ["_n", "_digest"], "left")
