@@ -42,7 +42,6 @@ SHINGLE = 3
 THETA = 90
 SLACKS = range(1, 49)
 BAND_RATIO = 1.5
-COUNTERS = 64
 SIGNATURE_ROWS = 6_000_000  # of a broadcast of single 8-byte signatures
 BLOCK_SHINGLES = 200_000
 
@@ -197,31 +196,43 @@ def _describe(bands: Bands, width: int):
             sigs, docs = signatures(flat, bounds, bands)
             order = np.argsort(docs, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))])
-            cell = np.repeat(np.arange(len(texts)), sizes) * COUNTERS + (flat >> np.uint64(58)).astype(np.int64)
-            sketch = np.minimum(np.bincount(cell, minlength=len(texts) * COUNTERS), 255).astype(np.uint8)
+            cells = counters(sizes)
+            shift = (64 - np.log2(cells)).astype(np.uint64)
+            base = np.concatenate([[0], np.cumsum(cells)])
+            cell = np.repeat(base[:-1], sizes) + (flat >> np.repeat(shift, sizes)).astype(np.int64)
+            sketch = np.minimum(np.bincount(cell, minlength=base[-1]), 65535).astype(np.uint16)
             digest = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
             return [sizes.tolist(), digest,
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sigs[order].view(np.int64))),
-                    [x.tobytes() for x in sketch.reshape(len(texts), COUNTERS)]]
+                    [sketch[a:b].tobytes() for a, b in zip(base, base[1:])]]
         return fn
 
     return [T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()),
             T.StructField("_sigs", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType())], start
 
 
+def counters(sizes: np.ndarray) -> np.ndarray:
+    """Counters of a set's sketch: a power of two, about one for eight shingles."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 6, 14).astype(np.int64)
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """L1 distance of two sketches, the finer one folded: a lower bound of the
+    symmetric difference of the sets (counters are cells of the hash range)."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    y = np.minimum(y.reshape(len(x), -1).sum(axis=1), 65535)
+    return int(np.abs(x - y).sum())
+
+
 def _near(theta: int):
-    """Pairs that the counters do not rule out: their L1 distance is a lower bound of
-    the symmetric difference."""
+    """Pairs that the sketches do not rule out."""
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            a, b, x, y = (batch.column(k) for k in (2, 3, 4, 5))
-            rows = [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(n, COUNTERS).astype(np.int32) for c in (x, y)]
-            total = a.to_numpy() + b.to_numpy()
-            ok = np.abs(rows[0] - rows[1]).sum(axis=1) <= total * (100 - theta) // (100 + theta)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = total * (100 - theta) // (100 + theta)
+            ok = [sketch_distance(*(np.frombuffer(v, dtype=np.uint16).astype(np.int64) for v in p)) <= d
+                  for p, d in zip(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()), most)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
