@@ -102,6 +102,35 @@ def test_pieces_vary_with_the_seed_only(model, texts):
     assert a == b and a != c and len(plain) < len(a) < 2 * len(plain)
 
 
+def test_pieces_draw_for_each_occurrence(model):
+    coder = pieces.PieceCoder(model, dropout=0.1)
+
+    def forms(ids):
+        cuts = [i for i, x in enumerate(ids) if x == coder.byte_ids[10]]  # a line feed is no piece
+        return {tuple(ids[a + 1:b]) for a, b in zip([-1, *cuts], cuts)}
+
+    assert len(forms(coder.encode("information\n " * 300))) > 2
+    assert len(set().union(*[forms(coder.encode(f"information\n {k}")) for k in range(300)])) > 2
+    long = coder.encode("information" * 300)
+    assert len({tuple(long[i:i + 40]) for i in range(0, len(long) - 40)}) > len(long) // 2
+
+
+def test_pieces_rows_equal_single_merging(model, texts):
+    for dropout in (0.0, 0.1, 0.5):
+        coder = pieces.PieceCoder(model, dropout=dropout)
+        many = [*list(texts.values())[:40], "", None, "  two  spaces ", "a" * 300 + " b", "日本 ①▁x \x00"]
+        want = []
+        for text in many:
+            at = 0
+            draws = coder._draws(text) if text and dropout else b""
+            for unit in pieces._UNIT.findall("▁" + text.replace("▁", pieces._OWN).replace(" ", "▁")) if text else []:
+                want += coder.unit_ids(unit, draws[3 * at:3 * (at + len(unit))])[1]
+                at += len(unit)
+        for _ in range(2):  # the cache changes nothing
+            flat, sizes = coder.encode_all(many)
+            assert flat.tolist() == want and sizes.sum() == len(want)
+
+
 def test_pieces_table(odd, nothing, documents):
     encoded = pieces.encode_texts(odd.withColumn("n_tokens", F.lit("clash")))
     rows = pieces.decode_ids(encoded).collect()
