@@ -110,29 +110,36 @@ def filter_text(df: DataFrame, text_col: str, start: Callable[[], Callable[[list
     return df.mapInArrow(run, df.schema)
 
 
-def thinned(df: DataFrame, id_col: str, rows: int, weight: Column | None = None,
-            limit: int | None = None) -> DataFrame:
-    """About ``rows`` rows of ``df`` at most, picked by a hash of the id.
-
-    With ``weight`` (bytes of a row) and ``limit`` the sample is thinned so that its
-    weights add up to about ``limit`` at most.
-    """
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if weight is not None:
-        aggs.append(F.sum(weight).alias("w"))
-    total = df.agg(*aggs).first()
-    share = min(1.0, rows / max(1, total["n"]))
-    if weight is not None and limit is not None:
-        share = min(share, limit / max(1, total["w"] or 0))
+def thinned(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` at most, picked by a hash of the id."""
+    share = min(1.0, rows / max(1, df.count()))
     if share >= 1.0:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`")), F.lit(1_000_000)) < int(share * 1e6))
 
 
+def within_bytes(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """Rows of a (checkpointed, bounded) sample whose texts hold ``limit`` bytes at most:
+    ids in the order of another hash than that of ``thinned``, each one that still
+    fits.  The ids and sizes go through the driver, a row per id of the sample."""
+    sizes = (df.groupBy(id_col).agg(F.sum(F.octet_length(text_col)).alias("w"))
+             .orderBy(F.xxhash64(F.lit("bytes"), F.col(id_col)), id_col).collect())
+    if sum(r["w"] for r in sizes) <= limit:
+        return df
+    kept, total = [], 0
+    for r in sizes:
+        if total + r["w"] <= limit:
+            kept.append((r[id_col],))
+            total += r["w"]
+    ids = df.sparkSession.createDataFrame(kept, T.StructType([df.schema[id_col]]))
+    return df.join(F.broadcast(ids), id_col, "left_semi")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
                     rows: int, text_bytes: int | None = None) -> DataFrame:
     """Training rows (text, y): labelled, outside the held-out class, about ``rows``
-    at most (a documented bound of the classifiers), so the broadcast is bounded.
+    at most (a documented bound of the classifiers), so the broadcast is bounded, and
+    never more than ``text_bytes`` bytes of text (also where single texts are long).
     Repeated label rows of an id count once (the largest label)."""
     known = (labels.where(F.col(label).isNotNull() & (crc_class(id_col) != 0))
              .groupBy(F.col(id_col).alias("_lid")).agg(F.max(label).cast("int").alias("y")))
@@ -140,5 +147,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     joined = (docs.select(F.col(f"`{id_col}`").alias("_lid"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
               .join(F.broadcast(picked), "_lid"))
     if text_bytes is not None:
-        joined = thinned(checkpointed(joined), "_lid", rows, F.octet_length("text"), text_bytes)
+        joined = within_bytes(checkpointed(joined), "_lid", "text", text_bytes)
     return joined.select("_lid", "text", "y")

@@ -9,8 +9,9 @@ window, so a few words count alike in a short and in a very long text: training
 first gives every window its document's label, then follows the worst window of
 each document.  Unseen misspellings share n-gram buckets with known words.
 
-The sample holds about ``train_rows`` rows and ``train_bytes`` text bytes at most
-(documented bounds), which is all that reaches the driver.  The model is one vector
+The sample holds about ``train_rows`` rows and never more than ``train_bytes`` text
+bytes (documented bounds; a longer single text is not learned from), which is all that
+reaches the driver.  The model is one vector
 of ``2**BITS`` margins: the softmax is linear, so a word needs a single number.
 
 Defined cases: a null text counts as empty; a text without words gets the score of

@@ -221,3 +221,15 @@ def test_classifiers_on_odd_rows(odd, nothing, labels):
 def test_training_never_sees_the_held_out_class(documents, labels):
     ids = [r["_lid"] for r in labelled_sample(documents, labels, "toxic", "doc_id", "text", 10 ** 6).collect()]
     assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+
+
+def test_training_text_is_bounded_on_large_tables(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 400 == 1, F.repeat(F.lit("long "), 100_000))
+                                    .otherwise(F.repeat(F.lit("ab "), 1000)).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    whole = labelled_sample(docs, labels, "toxic", "doc_id", "text", 400).agg(F.sum(F.octet_length("text"))).first()[0]
+    limit = 300_000  # a larger share of the picked bytes than 400 is of the rows
+    assert limit < whole
+    rows = labelled_sample(docs, labels, "toxic", "doc_id", "text", 400, limit).collect()
+    assert limit * 0.9 < sum(len(r["text"]) for r in rows) <= limit and {r["y"] for r in rows} == {0, 1}
+    assert len(labelled_sample(docs, labels, "toxic", "doc_id", "text", 400, whole).collect()) > len(rows)
