@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskmap.llm import (decontaminate, exact_dedup, jaccard_join, language_id, language_model, pieces, pii,
-                         quality, sharding, toxicity)
+                         quality, resampling, sharding, toxicity)
 
 QUERIES = {
     "op1_pii": (pii.op1_pii, None),
@@ -16,4 +16,5 @@ QUERIES = {
     "op8_quality": (quality.op8_quality, None),
     "op9_sharding": (sharding.op9_sharding, None),
     "op10_language_id": (language_id.op10_language_id, None),
+    "op11_resampling": (resampling.op11_resampling, resampling.ORACLE),
 }
