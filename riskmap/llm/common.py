@@ -54,6 +54,23 @@ def globally_ranked(df: DataFrame, order: list[Column]) -> DataFrame:
             .drop("_at", "_before"))
 
 
+HOT_GROUPS = 4096
+
+
+def attached(rows: DataFrame, groups: DataFrame, key: str, n: str, columns: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``columns`` of ``groups`` (distinct ``key``, row count ``n``).
+    Groups that hold over 1/HOT_GROUPS of the rows, of which there are fewer than
+    HOT_GROUPS, are broadcast; the other keys are shuffled, each of them small."""
+    groups = checkpointed(groups.select(key, n, *columns))
+    most = groups.agg(F.sum(n)).first()[0] or 0
+    hot = groups.where(F.col(n) * HOT_GROUPS > most)
+    first = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"), *columns)), key, "left")
+    found = first.where("_hot").drop("_hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return found.unionByName(rest.join(groups.where(F.col(n) * HOT_GROUPS <= most).select(key, *columns), key, "left")
+                             .select(*found.columns))
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

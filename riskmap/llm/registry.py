@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskmap.llm import (decontaminate, exact_dedup, jaccard_join, language_id, language_model, pieces, pii,
-                         quality, resampling, sharding, toxicity)
+from riskmap.llm import (decontaminate, exact_dedup, jaccard_join, language_id, language_model, merkle, pieces, pii,
+                         quality, resampling, sharding, simhash, toxicity)
 
 QUERIES = {
     "op1_pii": (pii.op1_pii, None),
@@ -17,4 +17,6 @@ QUERIES = {
     "op9_sharding": (sharding.op9_sharding, None),
     "op10_language_id": (language_id.op10_language_id, None),
     "op11_resampling": (resampling.op11_resampling, resampling.ORACLE),
+    "op12_merkle": (merkle.op12_merkle, merkle.ORACLE),
+    "op13_simhash": (simhash.op13_simhash, None),
 }

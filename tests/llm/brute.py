@@ -145,3 +145,87 @@ def ring_shards(rows, n_shards, owners, grid_bits, quota):
             if lap == 0:
                 queue.extend(left.get(p, []))
     return where
+
+
+def resampled(texts, target, buckets=10_000, percent=25, least=20, seed=7):
+    """[(id, text)], [text] -> [(id, n_features, weight, score, rank)], in any order."""
+    def runs(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        return len(w), [zlib.crc32(f.encode()) % buckets for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    docs = [(i, *runs(t)) for i, t in texts]
+    s, t = Counter(b for _, _, f in docs for b in f), Counter(b for x in target for b in runs(x)[1])
+    s_all, t_all = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * s_all / ((s[b] + 1) * t_all))) for b in s}
+    out = []
+    for i, n, f in docs:
+        w = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(f), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2 ** 32))), None, n])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0]))
+    for k, r in enumerate(able[:percent * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, changed):
+    """rows: (doc_id, source, lang, n_chars, text) -> [(id, leaf, subroot, root, proof, folded, verified)];
+    ``changed(row)`` is the row as found later."""
+    def leaf(row):
+        return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def tree(digests):
+        """(root, [siblings of each digest: (left, right) a level])."""
+        paths, at, level = [[] for _ in digests], list(range(len(digests))), list(digests)
+        while len(level) > 1:
+            for p, i in zip(paths, at):
+                p.append((level[i - 1], "") if i % 2 else ("", level[i + 1] if i + 1 < len(level) else ""))
+            at = [i // 2 for i in at]
+            level = [sha(*level[i:i + 2]) for i in range(0, len(level), 2)]
+        return (level or [None])[0], paths
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    keys = sorted(groups, key=lambda k: (k is not None, (k or "").encode()))
+    trees = {}
+    for k in keys:
+        groups[k].sort(key=lambda r: (r[0] is None, r[0] or 0, leaf(r)))
+        trees[k] = tree([leaf(r) for r in groups[k]])
+    root, tops = tree([trees[k][0] for k in keys])
+    out = []
+    for k, top in zip(keys, tops):
+        for row, path in zip(groups[k], trees[k][1]):
+            node = leaf(changed(row))
+            for left, right in path + top:
+                node = sha(left, node, right)
+            out.append((row[0], leaf(row), trees[k][0], root, sha(*(x + y for x, y in path + top)), node, node == root))
+    return out
+
+
+def simhash(texts, width=3, distance=2):
+    """{id: text} -> {id: (fingerprint, smallest reachable id)}; all pairs, bit by bit."""
+    import xxhash
+
+    prints = {}
+    for i, t in texts.items():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower(t)) if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[k:k + width]).encode(), 42) for k in range(max(1, len(w) - width + 1))] if w else []
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    ids, parent = sorted(prints), {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1:]:
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
+                r = sorted((root(a), root(b)))
+                parent[r[1]] = r[0]
+    return {i: (f"{prints[i]:016x}", root(i)) for i in ids}
