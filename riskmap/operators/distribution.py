@@ -202,6 +202,9 @@ def exact_percentiles(df: DataFrame, group_cols, value_col: str,
                     .select(*g, BUCKET, F.col("_off_n").alias("start"),
                             (F.col("_off_n") + F.col("n")).alias("end"),
                             F.col("_tot_n").alias("N")))
+    # written once (groups x edges rows at most): the steps below would each repeat its plan
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = ranges.checkpoint(eager=True)
     grp = ranges.select(*g, "N").distinct()
     if isinstance(probs, DataFrame):
         qdf = probs.select(*g, F.col("q").cast("double").alias("q"))
@@ -286,3 +289,21 @@ def threshold_counts(scored: DataFrame, group_cols, thresholds: DataFrame,
     res = marked.alias("m").join(sums.alias("s"), on=same).select(
         *[F.col(f"m.{c}").alias(c) for c in [*g, *keys, threshold_col]], "flagged_n", "tp", "tot_pos", "n_total")
     return res.drop(_DUMMY) if dummy else res
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str = "place") -> DataFrame:
+    """``df`` with the 0-based place of each row in the order, without a global window: rows
+    are dealt by range and sorted inside their partitions, the sorted table is
+    written once, and the driver gets one count per partition."""
+    ensure_checkpoint_dir(df.sparkSession)
+    fixed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
+    fixed = fixed.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33).cast("int")
+    starts, total = [], 0
+    for row in sorted(fixed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((row["p"], total))
+        total += row["n"]
+    starts = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (fixed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .withColumn(out, F.col("_start") + within).drop("_at", "_part", "_start"))

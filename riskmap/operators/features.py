@@ -28,6 +28,7 @@ from riskmap.spec import RoleSpec
 
 UNKNOWN = "unknown"
 COLUMNS_PER_JOB = 128        # groups of one quantile job
+MAX_LITERAL_LEVELS = 5000    # one-hot columns that a projection of literals can hold
 
 
 def level_expr(df: DataFrame, c: str):
@@ -59,13 +60,18 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
 
 
 def levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct levels per nominal column, string-sorted (one job)."""
+    """Distinct levels per nominal column, string-sorted (one job).  They become columns of
+    the plan, so ``MAX_LITERAL_LEVELS`` of them at most; ``operators.wide`` builds the same
+    matrix for columns of any width."""
     if not cols:
         return {}
     long = df.select(*[level_expr(df, c).alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "level").distinct()
+    found = long.limit(MAX_LITERAL_LEVELS + 1).collect()
+    if len(found) > MAX_LITERAL_LEVELS:
+        raise ValueError(f"more than {MAX_LITERAL_LEVELS} one-hot levels: use operators.wide.fit_sparse_features")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in long.toLocalIterator():        # the levels become the columns of the matrix
+    for r in found:
         out[r["feature"]].append(r["level"])
     return {c: sorted(v) for c, v in out.items()}
 

@@ -100,28 +100,6 @@ def marginal_panels(df: DataFrame, cols: Sequence[str], outcome: str, min_n: int
     return g.where(F.col("n") >= min_n).withColumn("overall", F.lit(overall).cast("double"))
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair (long form, both orders, diagonal 1)
-    from one aggregate with d(d-1)/2 ``corr`` terms."""
-    cols = list(cols)
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            nm = f"{a}|{b}"
-            names.append((a, b, nm))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(nm))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    wide = df.agg(*aggs)
-    stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{nm}`").alias("r"))
-                      for a, b, nm in names]
-                    + [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"`{nm}`").alias("r"))
-                       for a, b, nm in names]
-                    + [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r"))
-                       for c in cols])
-    return wide.select(F.explode(stack).alias("s")).select("s.a", "s.b", "s.r")
-
-
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
     """Equal-width bins between min and max; right edge of the last bin
     closed; empty bins kept.  Output: column, bin, lo, hi, count."""

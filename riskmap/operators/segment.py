@@ -18,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -26,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmap.operators.features import PopulationStandardScaler
 from riskmap.operators.split import bounded_sample
@@ -159,6 +161,22 @@ def assign(model: KMeansModel, df: DataFrame, mapping: dict[int, int] | None = N
     return res.withColumnRenamed("cluster", out) if out != "cluster" else res
 
 
+def nearest_centroid(df: DataFrame, array_col: str, centroids: DataFrame, out: str = "cluster") -> DataFrame:
+    """K14 over a centroid table (cluster, coords): the cluster at the smallest Euclidean
+    distance, ties to the smaller id; null for a null array.  The table (k rows)
+    becomes one literal array, and the argmin stays in native expressions."""
+    rows = sorted(((r["cluster"], r["coords"]) for r in centroids.select("cluster", "coords").collect()))
+    if not rows:
+        raise ValueError("no centroids")
+    table = F.array(*[F.struct(F.lit(c).alias("cluster"), F.array(*[F.lit(float(v)) for v in x]).alias("x")) for c, x in rows])
+
+    def away(c):
+        return F.aggregate(F.zip_with(F.col(array_col), c["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    best = F.array_min(F.transform(table, lambda c: F.struct(away(c).alias("d"), c["cluster"].alias("cluster"))))
+    return df.withColumn(out, F.when(F.col(array_col).isNotNull(), best["cluster"]))
+
+
 def silhouette_exact(df: DataFrame, id_col: str, features_col: str, label_col: str,
                      sample_size: int = SILHOUETTE_SAMPLE, seed: int = 42,
                      partitions: int = 8) -> float:
@@ -245,15 +263,31 @@ def best_k(sweep: DataFrame, cap: int | None = None, metric: str = "silhouette")
 
 # -- K11-K13 -----------------------------------------------------------------
 
+def assign_runs(models: dict[int, KMeansModel], df: DataFrame, id_col: str, features_col: str = "pca") -> DataFrame:
+    """(id, run, label): nearest centroid under every run's model, in one scan.  The
+    centroids of all runs (runs x k x m numbers) go out with the tasks."""
+    centres = {int(r): np.array(m.clusterCenters(), dtype=float) for r, m in models.items()}
+
+    def label(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            sq = (x * x).sum(1)[:, None]
+            for run, c in centres.items():
+                near = np.argmin(sq + (c * c).sum(1)[None, :] - 2.0 * x @ c.T, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(len(near), run, dtype=np.int32)), pa.array(near.astype(np.int32))],
+                    names=[id_col, "run", "label"])
+
+    source = df.select(id_col, vector_to_array(features_col).alias("_x"))
+    schema = T.StructType([source.schema[id_col], T.StructField("run", T.IntegerType()), T.StructField("label", T.IntegerType())])
+    return source.mapInArrow(label, schema)
+
+
 def stability_labels(df: DataFrame, id_col: str, k: int, seeds: Sequence[int],
                      n_init: int = 20, features_col: str = "pca") -> DataFrame:
     """(id, run, label) for refits at k under several seeds."""
     models = kmeans_pool(df, [(k, int(s)) for s in seeds], n_init, features_col)
-    out = None
-    for s, m in zip(seeds, models):
-        part = m.transform(df).select(id_col, F.lit(int(s)).alias("run"), F.col("cluster").alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return assign_runs({int(s): m for s, m in zip(seeds, models)}, df, id_col, features_col)
 
 
 def ari_pairs(labels: DataFrame, id_col: str = "id", run_col: str = "run",

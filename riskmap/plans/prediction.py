@@ -8,7 +8,6 @@ Model fitting is not SQL-expressible, so most of these have no DuckDB twin;
 from __future__ import annotations
 
 import threading
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,37 +27,29 @@ class Prepared:
     """Cleaned table, fitted feature model, and the keyed train/test matrices."""
 
     def __init__(self, spark, sf: str):
-        cl = C.clean(fx.cust_features(spark, sf), SPEC)
+        cl = M.materialize(C.clean(fx.cust_features(spark, sf), SPEC))
         self.fm = E.fit_feature_model(cl, SPEC)          # parity: fitted on all rows
-        # the feature matrix feeds the split, the folds and every fit
-        X = M.safe_matrix(self.fm, cl, keep=["k", "y"]).persist()
-        sp = S.stratified_split(X, "k", "y", 0.2, SEED)
-        # the splits feed many fits: keep them materialized
-        self.test = sp.where(F.col("split") == "test").drop("split").persist()
-        train = sp.where(F.col("split") == "train").drop("split")
-        self.train = S.stratified_folds(train, "k", "y", 5, FOLD_SEED).persist()
+        # the matrix and the splits feed every fit: files, so that no fit plans them again
+        X = M.materialize(M.safe_matrix(self.fm, cl, keep=["k", "y"]))
+        sp = S.stratified_split(X.select("k", "y"), "k", "y", 0.2, SEED)
+        folds = S.stratified_folds(sp.where(F.col("split") == "train").drop("split"), "k", "y", 5, FOLD_SEED)
+        self.train = M.materialize(X.join(folds.select("k", "fold"), "k"))
+        self.test = M.materialize(X.join(folds.select("k"), "k", "left_anti"))
         self.n_train = self.train.count()
         self.n_test = self.test.count()
         self._searches: dict = {}
         self._lock = threading.Lock()
 
-    def search(self, family: M.Family):
-        """M8 result per family, computed once per prepared data set."""
+    def search_all(self, families) -> dict:
+        """M8 results per family; families that no query has searched yet share one pool."""
         with self._lock:
-            ev = self._searches.get(family.name)
-            if ev is None:
-                ev = self._searches[family.name] = threading.Event()
-                owner = True
-            else:
-                owner = False
-        if owner:
-            try:
-                self._searches[family.name + ":result"] = M.grid_search(
-                    self.fm, family, self.train, return_oof=True)
-            finally:
-                ev.set()
-        ev.wait()
-        return self._searches[family.name + ":result"]
+            new = [f for f in families if f.name not in self._searches]
+            if new:
+                self._searches |= M.search_all(self.fm, new, self.train)
+            return {f.name: self._searches[f.name] for f in families}
+
+    def search(self, family: M.Family):
+        return self.search_all([family])[family.name]
 
 
 _CACHE = SessionCache(Prepared)
@@ -177,44 +168,53 @@ def s03_oof_scores(spark, sf):
 
 
 def results_table(spark, sf, families=None) -> DataFrame:
-    """The 12-row table -- per family: no adjust at 0.50, balanced at 0.50,
-    F1-tuned threshold (from out-of-fold scores of the unbalanced model)."""
+    """Three rows per family: no adjust at 0.50, balanced at 0.50, F1-tuned threshold
+    (from out-of-fold scores of the unbalanced model).  Two rounds of fits, each in one
+    pool: the searches of all families, then the refits of their best points with the
+    balanced out-of-fold margins that calibrate the SVMs."""
     p = prepared(spark, sf)
     fams = families or [M.lr_family(), M.lr_kernel_family(), M.svm_lin_family(), M.svm_rbf_family()]
-
-    def one(fam):
-        _, best, oof = p.search(fam)
-        names = [f"{fam.name} ({s})" for s in ("none", "balanced")]
-        if fam.kind == "svm":
-            with ThreadPoolExecutor(max_workers=2) as ex:
-                jobs = [ex.submit(_calibrated, p, fam, best, n, w, o)
-                        for n, w, o in zip(names, (False, True), (oof, None))]
-                (none, oof), (bal, _) = (j.result() for j in jobs)
-        else:
-            with ThreadPoolExecutor(max_workers=2) as ex:
-                jobs = [ex.submit(_test_scores, p, fam, best, n, w) for n, w in zip(names, (False, True))]
-                none, bal = (j.result() for j in jobs)
-        return [none, bal], V.tune_threshold(oof.withColumn("model", F.lit(names[0])), "f1")
-
-    # one family at a time: each search already keeps the cluster busy with
-    # concurrent fits, and nesting more driver threads only thrashes the scheduler
-    done = [one(fam) for fam in fams]
-    scores = [x for d in done for x in d[0]]
-    tuned = [d[1] for d in done]
-    allscores = scores[0]
-    for s in scores[1:]:
-        allscores = allscores.unionByName(s)
-    tun = tuned[0]
-    for t in tuned[1:]:
-        tun = tun.unionByName(t)
-    plan = V.results_plan_rows(spark, [f.name for f in fams], tun)
-    return V.metrics_table(allscores, plan, digits=4)
+    found = p.search_all(fams)
+    train = M.class_weight_column(M.with_label(p.train)).persist()
+    sizes = M.fold_sizes(p.train)
+    works, oofs = [], {}
+    for f in fams:
+        best = found[f.name][1]
+        points = [M.Point(f"{f.name} (none)", best), M.Point(f"{f.name} (balanced)", best, True)]
+        works.append(M.Work(f, points, train, p.test, float(p.n_train), ["k", "y"]))
+    for f in fams:
+        if f.kind == "svm":
+            mine = M.fold_works(f, [M.Point("balanced", found[f.name][1], True)], M.with_label(p.train), sizes, "k", "y", "fold")
+            oofs[f.name] = range(len(works), len(works) + len(mine))
+            works += mine
+    done = M.run_fits(p.fm, works)
+    train.unpersist()
+    scores, tuned = [], []
+    for f, scored in zip(fams, done):
+        oof = found[f.name][2]
+        if f.kind == "svm":
+            # each strategy gets the sigmoid of its own out-of-fold margins: weights move them
+            margins = {"none": oof, "balanced": M._union([done[i] for i in oofs[f.name]])}
+            fitted = {s: M.platt_fit(m) for s, m in margins.items()}
+            parts = [M.platt_apply(scored.where(F.col("point") == f"{f.name} ({s})"), *fitted[s]) for s in margins]
+            scored, oof = parts[0].unionByName(parts[1]), M.platt_apply(oof, *fitted["none"])
+        scores.append(scored.select("k", F.col("point").alias("model"), "y", "p"))
+        tuned.append(oof.select(F.lit(f"{f.name} (none)").alias("model"), "k", "y", "p"))
+    best = V.tune_threshold(M.materialize(M._union(tuned)), "f1")
+    plan = V.results_plan_rows(spark, [f.name for f in fams], best)
+    return V.metrics_table(M.materialize(M._union(scores)), plan, digits=4)
 
 
 def v14_results_table(spark, sf):
     return results_table(spark, sf)
 
 
+def m06_forest_results(spark, sf):
+    """M6, M8, M9: the forest family's three rows: six grid points by five folds, refits of the
+    best point with and without balanced weights, and the tuned threshold."""
+    return results_table(spark, sf, [M.rf_family()])
+
+
 QUERIES = {
     "m01_logreg_coefficients": (m01_logreg_coefficients, None),
     "m02_class_weights": (m02_class_weights, M02_SQL),
@@ -222,6 +222,7 @@ QUERIES = {
     "m04_svm_rbf_summary": (m04_svm_rbf_summary, None),
     "m05_lr_kernel_summary": (m05_lr_kernel_summary, None),
     "m06_rf_importances": (m06_rf_importances, None),
+    "m06_forest_results": (m06_forest_results, None),
     "m07_platt_calibration": (m07_platt_calibration, None),
     "m08_grid_search": (m08_grid_search, None),
     "m09_balanced_refit": (m09_balanced_refit, None),

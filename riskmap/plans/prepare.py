@@ -9,6 +9,7 @@ from riskmap.operators import clean as C
 from riskmap.operators import features as E
 from riskmap.operators import profile as B
 from riskmap.operators import split as S
+from riskmap.operators.moments import correlation_table
 from riskmap.plans.common import dbl, q6, sql_q6
 from riskmap.sources import fixtures as fx
 from riskmap.sources.tables import read_table
@@ -237,7 +238,7 @@ FROM long WHERE level IS NOT NULL GROUP BY feature, level HAVING count(*) >= 20"
 
 def b09_correlation(spark, sf):
     cl, fm = _fm(spark, sf)
-    return q6(B.correlation_pairs(fm.transform(cl), fm.numeric))
+    return q6(correlation_table(fm.transform(cl), fm.numeric))
 
 
 def _corr_sql():

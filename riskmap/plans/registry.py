@@ -11,6 +11,8 @@ MODULES = (
     "riskmap.plans.prediction",
     "riskmap.plans.segmentation",
     "riskmap.plans.rollup",
+    "riskmap.plans.wide",
+    "riskmap.plans.checks",
     "riskmap.plans.end_to_end",
 )
 

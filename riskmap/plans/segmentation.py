@@ -145,9 +145,9 @@ class SegPrepared:
     geography columns; each set is built when first asked for."""
 
     def __init__(self, spark, sf: str):
-        cl = C.clean(fx.cust_features(spark, sf), SPEC)
+        cl = M.materialize(C.clean(fx.cust_features(spark, sf), SPEC))
         self.fm = E.fit_feature_model(cl, SPEC)
-        self.all = M.safe_matrix(self.fm, cl, keep=["k", "y"]).persist()
+        self.all = M.materialize(M.safe_matrix(self.fm, cl, keep=["k", "y"]))
         self._sets: dict = {}
 
     def __getitem__(self, key: str) -> dict:

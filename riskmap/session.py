@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.scheduler.mode": "FAIR",      # concurrent fits share the cores
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,19 +14,55 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_raw(spark: SparkSession, path: str, schema: StructType | None = None,
-             null_value: str = "") -> DataFrame:
+#: type classes of a data dictionary (D1) and the types their columns are read as
+TYPE_CLASSES = {"int": LongType(), "float": DoubleType(), "string": StringType(), "bool": BooleanType()}
+CORRUPT = "_corrupt_record"
+
+
+def csv_schema(spark: SparkSession, path: str, dictionary: Sequence[tuple[str, str]], sep: str = ",") -> StructType:
+    """Schema of a CSV by its header: documented columns in their type, others as strings, in
+    the file's order, and the column that takes rows which do not parse.  Only the
+    header line is read."""
+    kinds = dict(dictionary)
+    unknown = set(kinds.values()) - set(TYPE_CLASSES)
+    if unknown:
+        raise ValueError(f"type classes are {sorted(TYPE_CLASSES)}, got {sorted(unknown)}")
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    return StructType([StructField(c, TYPE_CLASSES[kinds[c]] if c in kinds else StringType()) for c in header]
+                      + [StructField(CORRUPT, StringType())])
+
+
+def load_raw(spark: SparkSession, path: str, dictionary: Sequence[tuple[str, str]] | None = None,
+             schema: StructType | None = None, null_value: str = "", sep: str = ",") -> DataFrame:
     """A1: CSV with header; empty fields are missing.
 
-    An explicit schema is the production path (no inference pass over the
-    data); ``inferSchema`` is the fallback when none is given.
+    With a data ``dictionary`` of (variable, type class) columns are typed by name,
+    whatever their order in the file; a row with a value of another type, or with too
+    many or too few fields, keeps what parsed and has its text in ``_corrupt_record``
+    (``sound_rows`` and ``corrupt_rows`` take them apart).  A given ``schema`` is
+    checked against the header.  Without either, types are inferred by a pass over the
+    data.
     """
-    reader = spark.read.option("header", True).option("nullValue", null_value)
+    reader = spark.read.option("header", True).option("nullValue", null_value).option("sep", sep)
+    if dictionary is not None:
+        schema = csv_schema(spark, path, dictionary, sep)
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
-        return reader.schema(schema).csv(path)
+        # without this, Spark lays the schema over the fields by position and ignores the header
+        return reader.option("enforceSchema", False).schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
 
 
+def sound_rows(raw: DataFrame) -> DataFrame:
+    """Rows of ``load_raw`` that parsed as documented."""
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def corrupt_rows(raw: DataFrame) -> DataFrame:
+    """The others, with what parsed and their text."""
+    return raw.where(F.col(CORRUPT).isNotNull())
+
+
 def save_splits(df: DataFrame, out_dir: str, split_col: str = "split",
                 fmt: str = "parquet") -> None:
     """A2: persist a keyed, split-labelled frame, one directory per split value.
