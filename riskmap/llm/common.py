@@ -146,12 +146,34 @@ def filter_text(df: DataFrame, text_col: str, start: Callable[[], Callable[[list
     return df.mapInArrow(run, df.schema)
 
 
-def thinned(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` at most, picked by a hash of the id."""
-    share = min(1.0, rows / max(1, df.count()))
-    if share >= 1.0:
+LEAST = 500         # rows of a class that thinning leaves, where it has them
+MAX_CLASSES = 4096  # of a label
+
+
+def thinned(df: DataFrame, id_col: str, rows: int, class_col: str | None = None, least: int = LEAST) -> DataFrame:
+    """About ``rows`` rows of ``df`` at most, picked by a hash of the id.  With ``class_col``
+    a class keeps about ``least`` rows, so that rare ones do not vanish as the table
+    grows; the bound is then ``rows`` plus ``least`` a class."""
+    if class_col is None:
+        sizes = {None: df.count()}
+    else:
+        found = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
+        sizes = {r[class_col]: r["n"] for r in found}
+    total = sum(sizes.values())
+    if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`")), F.lit(1_000_000)) < int(share * 1e6))
+    shares = {c: min(1.0, max(rows / total, (least if class_col else 0) / n)) for c, n in sizes.items()}
+    share = F.lit(rows / total)
+    if class_col is not None:
+        raised = [(c, x) for c, x in shares.items() if x > rows / total and c is not None]
+        if raised:
+            share = F.coalesce(F.create_map(*[F.lit(v) for pair in raised for v in pair])[F.col(class_col)], share)
+    # a hash in [0, 1) of sixty bits' resolution
+    place = (F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`")), F.lit(1_000_000))
+             + F.pmod(F.xxhash64(F.lit("finer"), F.col(f"`{id_col}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))) / 1_000_000
+    return df.where(place < share)
 
 
 def within_bytes(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -174,12 +196,12 @@ def within_bytes(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataF
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
                     rows: int, text_bytes: int | None = None) -> DataFrame:
     """Training rows (text, y): labelled, outside the held-out class, about ``rows``
-    at most (a documented bound of the classifiers), so the broadcast is bounded, and
-    never more than ``text_bytes`` bytes of text (also where single texts are long).
+    at most plus ``LEAST`` of a rare label (a documented bound of the classifiers), so
+    the broadcast is bounded, and never more than ``text_bytes`` bytes of text (also where single texts are long).
     Repeated label rows of an id count once (the largest label)."""
     known = (labels.where(F.col(label).isNotNull() & (crc_class(id_col) != 0))
              .groupBy(F.col(id_col).alias("_lid")).agg(F.max(label).cast("int").alias("y")))
-    picked = checkpointed(thinned(known, "_lid", rows))
+    picked = checkpointed(thinned(known, "_lid", rows, "y"))
     joined = (docs.select(F.col(f"`{id_col}`").alias("_lid"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
               .join(F.broadcast(picked), "_lid"))
     if text_bytes is not None:

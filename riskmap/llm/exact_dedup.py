@@ -46,13 +46,15 @@ def _buckets(n_rows: int) -> int:
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """(_id, _sha, n_blocks, pos, _block).  The text is hashed and cut once per row, before
+    the explode, so the time is linear in its length; the whole text stays behind."""
     norm = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     base = df.select(F.col(f"`{id_col}`").alias("_id"), norm.cast("binary").alias("_text"))
     count = F.greatest(F.lit(1), F.ceil(F.length("_text") / block_bytes)).cast("int")
-    base = base.select("_id", "_text", count.alias("n_blocks"))
-    pos = F.col("pos")
-    return (base.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .withColumn("_block", F.substring("_text", pos * block_bytes + 1, F.lit(block_bytes))))
+    cut = F.transform(F.sequence(F.lit(0), count - 1),
+                      lambda pos: F.substring(F.col("_text"), pos * block_bytes + 1, F.lit(block_bytes)))
+    base = base.select("_id", F.sha2("_text", 256).alias("_sha"), count.alias("n_blocks"), cut.alias("_cut"))
+    return base.select("_id", "_sha", "n_blocks", F.posexplode("_cut").alias("pos", "_block"))
 
 
 def _level_zero(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -67,7 +69,7 @@ def _level_zero(df: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
         F.lit(0), F.coalesce(F.size("_texts"), F.lit(1)) - 1)).alias("_variant"))
     names = _named(variants.select("_key", "_variant"), ["_key", "_variant"], _buckets(keys.count()))
     shared = keys.where(F.col("_texts").isNotNull())
-    row = ["_id", F.sha2("_text", 256).alias("_sha"), "n_blocks", "pos", key]
+    row = ["_id", "_sha", "n_blocks", "pos", key]
     if shared.isEmpty():
         rows = blocks.select(*row).withColumn("_variant", F.lit(0))
     else:  # exact: rows of a shared key compare their block with the key's texts

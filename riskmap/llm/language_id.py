@@ -122,7 +122,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()
                        & (crc_class(id_col) != 0))
     sample = thinned(known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"),
-                                  F.col(f"`{lang_col}`").alias("_lang")), "_id", train_rows)
+                                  F.col(f"`{lang_col}`").alias("_lang")), "_id", train_rows, "_lang")
     return NaiveBayes(count_grams(sample.repartition(16), "_text", "_lang"))
 
 

@@ -1,16 +1,19 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton runs once over each whole text and finds anchors: at-signs,
-plus signs, digits, ``://`` and identifier cues (IBAN, SSN, account, password, ...).
-A local parser then expands each anchor to its boundaries and validates it.  Parsers
-are deterministic and read every character a bounded number of times, so very long
-runs cost linear time.
+plus signs, digits, ``://`` and identifier cues (IBAN, SSN, account, password, ...), in
+any mix of upper and lower case.  A local parser then expands each anchor to its
+boundaries and validates it.  Parsers are deterministic and read every character a
+bounded number of times, so very long runs cost linear time: an anchor inside a value
+that has been read is not expanded again.
 
 Base kinds (fixed grammar; leftmost, non-overlapping per kind, failing matches are
 dropped without a retry): ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19
 digits, Luhn), ``phone`` (8 to 15 digits).  The method adds ``account`` (IBANs by
-mod 97, social security and account numbers after their cue, credentials in a URL)
-and ``secret`` (a value after password/token/key cues).
+mod 97, social security and account numbers after their cue, credentials in a URL),
+``secret`` (a value after password/token/key cues) and ``address`` (the network address
+after a scheme: a host name, IPv4 or bracketed IPv6 address, with its port).  An address
+by itself is no personal data: ``personal`` says whether a row has any other span.
 
 Spans are (kind, start, end) in code points, end exclusive.  Defined cases: a null
 or empty text has no spans; repeated rows give equal rows; a kept column that
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 from riskmap.llm.common import map_text, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "secret")
+KINDS = (*BASE, "account", "secret", "address")
+PERSONAL = KINDS[:-1]
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGITS = re.compile(r"[0-9]++")
@@ -41,7 +45,8 @@ _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){7,16}(?![0-9])")
 _ASSIGN = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?")
 _VALUE = re.compile(r"[^\s\"'&;,]{8,}+")
-_CREDENTIALS = re.compile(r"[^\s/:@\"'<>]{1,128}:[^\s/:@\"'<>]{1,128}@(?=[A-Za-z0-9])")
+_CREDENTIALS = re.compile(r"[^\s/:@\"'<>]++:[^\s/:@\"'<>]++@(?=[A-Za-z0-9\[])")
+_HOST = re.compile(r"(?:\[[0-9A-Fa-f:.]{2,45}+\]|[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)(?::([0-9]{1,5}+)(?![0-9]))?")
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "number", "acct": "number",
          "konto": "number", "password": "secret", "passwd": "secret", "secret": "secret", "token": "secret",
          "api_key": "secret", "apikey": "secret", "api-key": "secret"}
@@ -57,12 +62,16 @@ def automaton():
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
     for cue, kind in _CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (kind, len(cue)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z lower-cased: as many code points, at the same places."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -83,14 +92,21 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _address(text: str, start: int) -> tuple[int, int] | None:
+    """Boundaries of the network address at ``start``."""
+    match = _HOST.match(text, start)
+    if not match or int(match[1] or 0) > 65535:
+        return None
+    host = match[0].partition(":")[0] if text[start] != "[" else ""
+    labels = host.split(".")
+    if host and (any(not x or len(x) > 63 or x[0] == "-" or x[-1] == "-" for x in labels)
+                 or labels[-1].isdigit() and not (len(labels) == 4 and all(x.isdigit() and _part_ok(x) for x in labels))):
+        return None
+    return match.span()
+
+
 def _cued(text: str, kind: str, end: int) -> tuple[str, int, int] | None:
     """The identifier that follows a cue ending at ``end``."""
-    if kind == "secret":
-        lead = _ASSIGN.match(text, end)
-        value = lead and _VALUE.match(text, lead.end())
-        if value and any(c.isdigit() for c in value[0]) and any(c.isalpha() for c in value[0]):
-            return "secret", value.start(), value.end()
-        return None
     at = _AFTER_CUE.match(text, end).end()
     if kind == "iban":
         value = _IBAN.match(text, at)
@@ -109,9 +125,9 @@ def spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found: dict[str, list] = {k: [] for k in KINDS}
-    done = dict.fromkeys(("email", "ip", "run", "card", "phone"), 0)
+    done = dict.fromkeys(("email", "ip", "run", "card", "value"), 0)
     after_at = 0
-    for last, (kind, length) in anchors.iter(text):
+    for last, (kind, length) in anchors.iter(lowered(text)):
         start, end = last + 1 - length, last + 1
         if kind == "digit":
             if start >= done["ip"] and start >= done["run"]:
@@ -144,8 +160,19 @@ def spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
                 found["phone"].append((start, match.end()))
         elif kind == "scheme":
             match = _CREDENTIALS.match(text, end)
-            if match:
+            if match and (not found["account"] or end >= found["account"][-1][1]):
                 found["account"].append((end, match.end() - 1))
+            host = _address(text, match.end() if match else end)
+            if host:
+                found["address"].append(host)
+        elif kind == "secret":
+            lead = _ASSIGN.match(text, end)
+            # a cue inside a value that was read has nothing to add, whether that one passed or not
+            value = lead and lead.end() >= done["value"] and _VALUE.match(text, lead.end())
+            if value:
+                done["value"] = value.end()
+                if any(map(str.isdigit, value[0])) and any(map(str.isalpha, value[0])):
+                    found["secret"].append(value.span())
         else:
             hit = _cued(text, kind, end)
             if hit and (not found[hit[0]] or hit[1] >= found[hit[0]][-1][1]):
@@ -168,17 +195,20 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
             rows = [spans(t, anchors) for t in texts]
             counts = [[sum(1 for s in r if s[0] == k) for r in rows] for k in KINDS]
             base = [hashlib.sha256(_joined(s for s in r if s[0] in BASE).encode()).hexdigest() for r in rows]
-            return [*counts[:4], base, [_joined(r) for r in rows], *counts[4:]]
+            any_ = [any(s[0] in PERSONAL for s in r) for r in rows]
+            return [*counts[:4], base, [_joined(r) for r in rows], *counts[4:], any_]
         return fn
 
     longs = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     texts = [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
-    return map_text(docs, text_col, keep, longs[:4] + texts + longs[4:], start)
+    personal = [T.StructField("personal", T.BooleanType())]
+    return map_text(docs, text_col, keep, longs[:4] + texts + longs[4:] + personal, start)
 
 
-def mask_pii(docs: DataFrame, text_col: str = "text", masked_col: str = "masked") -> DataFrame:
-    """All columns plus the text with every span replaced by ``[KIND]``; overlapping
-    spans become one mark of the first kind."""
+def mask_pii(docs: DataFrame, text_col: str = "text", masked_col: str = "masked",
+             kinds: tuple[str, ...] = PERSONAL) -> DataFrame:
+    """All columns plus the text with every span of ``kinds`` replaced by ``[KIND]``;
+    overlapping spans become one mark of the first kind."""
     def start():
         anchors = automaton()
 
@@ -186,7 +216,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", masked_col: str = "masked"
             if text is None:
                 return None
             out, at = [], 0
-            for kind, a, b in sorted(spans(text, anchors), key=lambda s: (s[1], -s[2])):
+            for kind, a, b in sorted((s for s in spans(text, anchors) if s[0] in kinds), key=lambda s: (s[1], -s[2])):
                 if a >= at:
                     out += [text[at:a], f"[{kind.upper()}]"]
                 at = max(at, b)
