@@ -46,15 +46,20 @@ def _buckets(n_rows: int) -> int:
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(_id, _sha, n_blocks, pos, _block).  The text is hashed and cut once per row, before
-    the explode, so the time is linear in its length; the whole text stays behind."""
-    norm = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    base = df.select(F.col(f"`{id_col}`").alias("_id"), norm.cast("binary").alias("_text"))
-    count = F.greatest(F.lit(1), F.ceil(F.length("_text") / block_bytes)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1),
-                      lambda pos: F.substring(F.col("_text"), pos * block_bytes + 1, F.lit(block_bytes)))
-    base = base.select("_id", F.sha2("_text", 256).alias("_sha"), count.alias("n_blocks"), cut.alias("_cut"))
-    return base.select("_id", "_sha", "n_blocks", F.posexplode("_cut").alias("pos", "_block"))
+    """(_id, _sha, n_blocks, pos, _block).  The text is normalised, hashed and cut once per
+    row, so the time is linear in its length; the whole text stays behind.  It is bound
+    to a lambda's variable: as a column, the optimizer would put its expression into
+    every use, and each block would be cut from a text normalised anew."""
+    norm = lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary")
+
+    def cut(text):
+        n = F.greatest(F.lit(1), F.ceil(F.length(text) / block_bytes)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n - 1),
+                             lambda pos: F.substring(text, pos * block_bytes + 1, F.lit(block_bytes)))
+        return F.struct(F.sha2(text, 256).alias("_sha"), n.alias("n_blocks"), blocks.alias("_cut"))
+
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.inline(F.transform(F.array(norm), cut)))
+    return rows.select("_id", "_sha", "n_blocks", F.posexplode("_cut").alias("pos", "_block"))
 
 
 def _level_zero(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:

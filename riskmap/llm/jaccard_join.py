@@ -6,18 +6,22 @@ so the shingle universe is split by hash into segments whose weights add up to
 H + 1 + slack: a segment of weight 1 must agree exactly, one of weight 2 up to one
 shingle.  By the pigeonhole at least 1 + slack weight agrees, hence linked sets
 share a signature: the hash of a segment, or of a segment with one shingle deleted.
-The slack lets a set leave out the signatures of empty segments, which would meet by
-chance, as long as they weigh no more than the slack.  The slack and the number of
-segments with deletions are chosen per band by estimated cost (signatures plus
-expected chance candidates).  A set emits its own band and, if it may have partners there, the next lower.
+The slack lets a set leave out signatures: first those of empty segments, which would
+meet by chance, then, as far as the slack reaches, those of weight 1 that most sets have
+(a shared passage, a licence line).  That is safe: of the 1 + slack segments that linked
+sets agree on, the rarest has ``slack`` agreed ones before it in the order of frequency
+on either side, so neither set leaves it out.  The slack and the number of segments with
+deletions are chosen per band by estimated cost (signatures plus expected chance
+candidates), and a share of the segments is added for common passages.  A set emits its
+own band and, if it may have partners there, the next lower.
 
 Sets that are equal form one class first.  Sets that share a signature are verified
 exactly, not as all pairs: first against one centre a signature, the member whose
 signatures are most widely shared, so a group of copies of one text costs a linear
-number of checks.  Where the members of a centre still lie in several components,
-those outside the centre's component are compared with all its members, in blocks of
-bounded size that give back links only.  Pairs left out lie in one component already,
-so the components are those of all links.
+number of checks.  Where the members of a centre still lie in several components, those
+outside the centre's component are compared with all its members by their sketches, in
+blocks of bounded size; only pairs that the sketches allow have their texts read.  Pairs
+left out lie in one component already, so the components are those of all links.
 
 Broadcasts are made behind a count of their rows, with a shuffle join beyond it.
 Defined cases: documents without words have an empty set, link with nothing and are
@@ -32,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +46,9 @@ SHINGLE = 3
 THETA = 90
 SLACKS = range(1, 49)
 BAND_RATIO = 1.5
-SIGNATURE_ROWS = 6_000_000  # of a broadcast of single 8-byte signatures
-BLOCK_SHINGLES = 200_000
+BLOCK_BYTES = 4 << 20       # of sketches compared with each other
+COMMON_SHARE = 0.12         # slack for common passages, of a band's segments
+SIGNATURE_BYTES = 6         # a chance meeting of two signatures is only one more check
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,7 +119,7 @@ class Bands:
     def _allocate(self, hi: int, n: int, forced: int | None) -> tuple[int, int, int]:
         best = (math.inf, 1, 0, 0)
         for slack in SLACKS:
-            weight = self.distance(hi) + 1 + slack
+            weight = self.distance(hi) + 1 + slack + self.common(hi)
             for deleting in range(0, min(64, weight // 2) + 1) if forced is None else [min(forced, weight // 2)]:
                 m = weight - deleting
                 mean = hi / m
@@ -124,20 +129,27 @@ class Bands:
                 over = math.exp(min(0.0, (slack + 1) * math.log(max(trivial, 1e-300)) - math.lgamma(slack + 2)))
                 cost = m + deleting * mean + n * over ** 2 * m
                 if cost < best[0]:
-                    best = (cost, m, deleting, slack)
+                    best = (cost, m, deleting, slack + self.common(hi))
         return best[1:]
 
+    def common(self, hi: int) -> int:
+        """Slack that common passages may use up."""
+        return int(COMMON_SHARE * (self.distance(hi) + 1) + 0.5)
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         """Band of each size; -1 below the smallest."""
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-def signatures(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) arrays over all texts."""
+def signatures(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text) arrays over all texts, and per text how many signatures it may
+    leave out in its own and in the next lower band.  Of a signature bit 0 says that it
+    may not be left out, and bit 1 is the parity of its band."""
     sizes = np.diff(bounds)
     own = bands.of(sizes)
     least = -(-sizes * bands.theta // 100)  # the smallest partner
     sigs, docs = [], []
+    allowed = np.zeros((len(sizes), 2), dtype=np.int64)
     for lower in (0, 1):
         band = own - lower
         use = (band >= 0) if lower == 0 else (band >= 0) & (least <= bands.high[np.maximum(band, 0)])
@@ -158,34 +170,36 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.n
             size = np.diff(np.concatenate([first, [len(u)]]))
             g_doc, g_seg = doc[first], seg[first]
 
-            def sign(value, d, s):
+            def sign(value, d, s, fixed):
                 place = (band[d].astype(np.uint64) << np.uint64(40)) + s.astype(np.uint64) + np.uint64(1)
-                return _mix(value * np.uint64(0xC2B2AE3D27D4EB4F) + _mix(place))
+                marks = (band[d].astype(np.uint64) & np.uint64(1)) << np.uint64(1) | fixed.astype(np.uint64)
+                return _mix(value * np.uint64(0xC2B2AE3D27D4EB4F) + _mix(place)) >> np.uint64(16) & ~np.uint64(3) | marks
 
-            sigs.append(sign(total, g_doc, g_seg))
+            sigs.append(sign(total, g_doc, g_seg, g_seg < k[g_doc]))
             docs.append(g_doc)
             # segments of weight 2: also without one shingle each (a single one leaves the empty set)
             two = seg < k[doc]
             if two.any():
                 of = np.repeat(np.arange(len(first)), size)[two]
                 real = size[of] > 1
-                sigs.append(sign(total[of][real] - u[two][real], doc[two][real], seg[two][real]))
+                sigs.append(sign(total[of][real] - u[two][real], doc[two][real], seg[two][real], real[real]))
                 docs.append(doc[two][real])
             # weight of what meets the empty set; left out unless it exceeds the slack
             filled = np.bincount(g_doc, minlength=len(sizes))
             filled_two = np.bincount(g_doc[g_seg < k[g_doc]], minlength=len(sizes))
             lone = np.bincount(g_doc[(g_seg < k[g_doc]) & (size == 1)], minlength=len(sizes))
             weight = (m - filled) + (k - filled_two) + lone
+            allowed[use, lower] = np.maximum(0, bands.slack[np.maximum(band, 0)] - weight)[use]
             for d in np.flatnonzero(use & (weight > bands.slack[np.maximum(band, 0)])):
                 mine = (g_doc == d)
                 meets = np.ones(m[d], dtype=bool)
                 meets[g_seg[mine & ~((g_seg < k[d]) & (size == 1))]] = False
                 s = np.flatnonzero(meets)
-                sigs.append(sign(np.zeros(len(s), dtype=np.uint64), np.full(len(s), d), s))
+                sigs.append(sign(np.zeros(len(s), dtype=np.uint64), np.full(len(s), d), s, np.ones(len(s), dtype=bool)))
                 docs.append(np.full(len(s), d))
     if not sigs:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(sigs), np.concatenate(docs)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), allowed
+    return np.concatenate(sigs), np.concatenate(docs), allowed
 
 
 def _describe(bands: Bands, width: int):
@@ -193,9 +207,11 @@ def _describe(bands: Bands, width: int):
         def fn(texts):
             flat, bounds = shingle_sets(texts, width)
             sizes = np.diff(bounds)
-            sigs, docs = signatures(flat, bounds, bands)
+            sigs, docs, allowed = signatures(flat, bounds, bands)
+            parity = bands.of(sizes) & 1
             order = np.argsort(docs, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))]).astype(np.int64)
+            packed = sigs[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
             cells = counters(sizes)
             shift = (64 - np.log2(cells)).astype(np.uint64)
             base = np.concatenate([[0], np.cumsum(cells)])
@@ -203,12 +219,16 @@ def _describe(bands: Bands, width: int):
             sketch = np.minimum(np.bincount(cell, minlength=base[-1]), 65535).astype(np.uint16)
             digest = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
             return [sizes.tolist(), digest,
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sigs[order].view(np.int64))),
-                    [sketch[a:b].tobytes() for a, b in zip(base, base[1:])]]
+                    [packed[a:b].tobytes() for a, b in zip(offsets, offsets[1:])],
+                    [sketch[a:b].tobytes() for a, b in zip(base, base[1:])],
+                    # by the parity of the band
+                    np.where(parity == 0, allowed[:, 0], allowed[:, 1]).tolist(),
+                    np.where(parity == 0, allowed[:, 1], allowed[:, 0]).tolist()]
         return fn
 
     return [T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()),
-            T.StructField("_sigs", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType())], start
+            T.StructField("_sigs", T.BinaryType()), T.StructField("_sketch", T.BinaryType()),
+            T.StructField("_even", T.IntegerType()), T.StructField("_odd", T.IntegerType())], start
 
 
 def counters(sizes: np.ndarray) -> np.ndarray:
@@ -249,25 +269,32 @@ def _linked(theta: int):
 
 
 def _compare_blocks(theta: int):
-    """Links between the outsiders and the members of one pair of blocks."""
+    """Pairs of outsiders and members of one pair of blocks, of different components,
+    that sizes and sketches do not rule out."""
     def run(rows):
         import pandas as pd
 
         members, outside = rows[rows["role"] == 1], rows[rows["role"] == 0]
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["set"]]
         found: dict[str, list] = {"a": [], "b": []}
-        if len(sets) and len(outside):
-            sizes = np.array([len(x) for x in sets])
-            words, index = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids, comps = members["_id"].to_numpy(), members["comp"].to_numpy()
-            for i, comp, x in zip(outside["_id"], outside["comp"], outside["set"]):
-                x = np.frombuffer(x, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(words, x), len(words) - 1)
-                mark = np.zeros(len(words), dtype=np.int64)
-                mark[at[words[at] == x]] = 1
-                both = np.add.reduceat(mark[index], starts)
-                for j in np.flatnonzero((100 * both >= theta * (len(x) + sizes - both)) & (comps != comp)):
+        lengths = members["_sketch"].map(len).to_numpy()
+        groups = {}
+        for n in np.unique(lengths):
+            mine = members[lengths == n]
+            groups[n // 2] = (np.stack([np.frombuffer(x, dtype=np.uint16) for x in mine["_sketch"]]).astype(np.int32),
+                              mine["_id"].to_numpy(), mine["_n"].to_numpy(), mine["comp"].to_numpy())
+        folded: dict = {}
+        for i, comp, n, x in zip(outside["_id"], outside["comp"], outside["_n"], outside["_sketch"]):
+            x = np.frombuffer(x, dtype=np.uint16).astype(np.int32)
+            for cells, (table, ids, sizes, comps) in groups.items():
+                least = min(cells, len(x))
+                if (cells, least) not in folded:
+                    folded[cells, least] = np.minimum(table.reshape(len(table), least, -1).sum(axis=2), 65535)
+                mine = np.minimum(x.reshape(least, -1).sum(axis=1), 65535)
+                may = np.flatnonzero((100 * n >= theta * sizes) & (100 * sizes >= theta * n) & (comps != comp))
+                if not len(may):
+                    continue
+                apart = np.abs(folded[cells, least][may] - mine).sum(axis=1)
+                for j in may[apart <= (n + sizes[may]) * (100 - theta) // (100 + theta)]:
                     found["a"].append(min(i, ids[j]))
                     found["b"].append(max(i, ids[j]))
         return pd.DataFrame(found)
@@ -313,19 +340,19 @@ class _Verifier:
     def block_links(self, rows: DataFrame) -> DataFrame:
         """Links between different components among the members (centre, _id, comp) of
         each centre that involve a member outside the centre's own component."""
-        rows = rows.join(self.known.select("_id", "_n"), "_id")
+        rows = rows.join(self.known.select("_id", "_n", "_sketch"), "_id")
         main = rows.where("_id = centre").select("centre", F.col("comp").alias("main"))
-        parts = rows.groupBy("centre").agg(F.ceil(F.sum("_n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+        parts = rows.groupBy("centre").agg(F.ceil(F.sum(F.length("_sketch")) / BLOCK_BYTES).cast("int").alias("parts"))
         rows = rows.join(main, "centre").join(parts, "centre").select(
-            "centre", "_id", "comp", "parts", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int").alias("part"),
+            "centre", "_id", "comp", "_n", "_sketch", "parts", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int").alias("part"),
             (F.col("comp") != F.col("main")).alias("outside"))
-        rows = rows.join(self.sets(rows.select("_id")), "_id")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        as_member = rows.select("centre", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"), "_id", "comp", "set")
-        as_outsider = rows.where("outside").select("centre", F.col("part").alias("i"), every.alias("j"),
-                                                   F.lit(0).alias("role"), "_id", "comp", "set")
-        return (as_member.unionByName(as_outsider).groupBy("centre", "i", "j")
+        kept = ["_id", "comp", "_n", "_sketch"]
+        as_member = rows.select("centre", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"), *kept)
+        as_outsider = rows.where("outside").select("centre", F.col("part").alias("i"), every.alias("j"), F.lit(0).alias("role"), *kept)
+        near = (as_member.unionByName(as_outsider).groupBy("centre", "i", "j")
                 .applyInPandas(_compare_blocks(self.theta), self.schema).distinct())
+        return self.links(checkpointed(near))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -367,6 +394,39 @@ def describe_documents(docs: DataFrame, theta: int, width: int, deletions: int |
     return checkpointed(map_text(docs, "_text", ["_id"], fields, start))
 
 
+def _listed(known: DataFrame) -> DataFrame:
+    """(_id, sig), a row per signature."""
+    def run(batches):
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            count = np.array([len(x) // SIGNATURE_BYTES for x in packed], dtype=np.int64)
+            wide = np.zeros((int(count.sum()), 8), dtype=np.uint8)
+            wide[:, :SIGNATURE_BYTES] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, SIGNATURE_BYTES)
+            owner = pa.array(np.repeat(np.arange(len(count)), count))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(wide.view("<i8").ravel())], names=["_id", "sig"])
+
+    return known.select("_id", "_sigs").mapInArrow(
+        run, T.StructType([known.schema["_id"], T.StructField("sig", T.LongType())]))
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """(sig, _id, n): the signatures that sets still share once each has left out its most
+    frequent ones, and how many sets do.  The signatures are dealt once, by value; counts
+    and members come from that one exchange."""
+    dealt = _listed(known).repartition("sig")
+    shared = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = checkpointed(dealt.join(shared, "sig").select("sig", "_id", "n"))
+    odd = F.col("sig").bitwiseAND(F.lit(2)) != 0
+    rows = (every.join(known.select("_id", "_even", "_odd"), "_id")
+            .select("sig", "_id", F.when(odd, F.col("_odd")).otherwise(F.col("_even")).alias("allowed"),
+                    F.when(F.col("sig").bitwiseAND(F.lit(1)) == 0, F.col("n")).otherwise(F.lit(0)).alias("n"), odd.alias("odd")))
+    # those that may not be left out come last in the order
+    place = F.row_number().over(Window.partitionBy("_id", "odd").orderBy(F.desc("n"), "sig"))
+    kept = checkpointed(rows.withColumn("place", place).where("place > allowed OR n = 0").select("sig", "_id"))
+    again = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpointed(kept.join(again, "sig").select("sig", "_id", "n"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", theta: int = THETA,
                width: int = SHINGLE, deletions: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
@@ -376,9 +436,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = checkpointed(filled.groupBy("_n", "_digest").agg(F.min("_id").alias("_class")))
     heads = small(classes.select(F.col("_class").alias("_id"), "_n", "_digest"))
     known = filled.join(heads, ["_id", "_n", "_digest"], "left_semi").dropDuplicates(["_id", "_n", "_digest"])
-    listed = known.select("_id", F.explode("_sigs").alias("sig"))
-    shared = checkpointed(listed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = checkpointed(listed.join(small(shared, SIGNATURE_ROWS), "sig").select("sig", "_id", "n"))
+    members = candidates(known)
     typical = members.groupBy("_id").agg(F.sum("n").alias("typical"))
     centres = (members.select("sig", "_id").join(typical, "_id").groupBy("sig")
                .agg(F.max_by("_id", F.struct("typical", "_id")).alias("centre")))

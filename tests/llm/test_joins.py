@@ -101,7 +101,7 @@ def test_signatures_meet_for_every_link():
                 if 100 * both < theta * (len(a) + len(b) - both):
                     continue
                 flat, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-                sigs, docs = jaccard_join.signatures(flat, bounds, bands)
+                sigs, docs, _ = jaccard_join.signatures(flat, bounds, bands)
                 assert np.array_equal(a, b) or set(sigs[docs == 0].tolist()) & set(sigs[docs == 1].tolist())
 
 

@@ -233,3 +233,53 @@ def test_training_text_is_bounded_on_large_tables(spark):
     rows = labelled_sample(docs, labels, "toxic", "doc_id", "text", 400, limit).collect()
     assert limit * 0.9 < sum(len(r["text"]) for r in rows) <= limit and {r["y"] for r in rows} == {0, 1}
     assert len(labelled_sample(docs, labels, "toxic", "doc_id", "text", 400, whole).collect()) > len(rows)
+
+
+# ---- linear time, cues in any case, rare classes
+
+def test_pii_cues_in_any_case_and_long_credentials():
+    anchors = pii.automaton()
+
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in pii.spans(text, anchors)]
+    assert found("Social Security number: 123-45-6789") == [("account", "123-45-6789")]
+    assert found("Api_Key=abcd1234efgh") == [("secret", "abcd1234efgh")]
+    assert found("IBan DE89 3704 0044 0532 0130 00") == [("account", "DE89 3704 0044 0532 0130 00")]
+    user = "u" * 200
+    assert ("account", f"{user}:pw") in found(f"ftp://{user}:pw@host.example:8080/x")
+    assert ("address", "host.example:8080") in found(f"ftp://{user}:pw@host.example:8080/x")
+    assert found("http://999.2.3.4/ http://x.org:99999/ http://-a.org/") == []
+    assert found("http://[::1]:99/")[0] == ("address", "[::1]:99")
+    assert found("İİ PASSWORD: hunter2hunter2") == [("secret", "hunter2hunter2")]
+
+
+def test_pii_personal_column(spark, odd):
+    rows = {r["doc_id"]: r for r in pii.find_pii(odd).collect()}
+    assert rows[4]["personal"] is True or rows[5]["personal"] is True
+    assert rows[1]["personal"] is False and rows[9]["personal"] is False
+    web = spark.createDataFrame([(1, "see https://example.com/a")], "doc_id long, text string")
+    row = pii.find_pii(web).first()
+    assert row["n_address"] == 1 and row["personal"] is False
+    assert pii.mask_pii(web).first()["masked"] == "see https://example.com/a"
+
+
+@pytest.mark.parametrize("unit", ["password=", "token=a1b2c3d4;", "://a:b@", "iban ", "1.1.", "a@", "account 1234567 "])
+def test_pii_time_is_linear(unit):
+    import time
+    anchors, took = pii.automaton(), []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        pii.spans(unit * n, anchors)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_thinning_keeps_rare_classes(spark):
+    from riskmap.llm.common import thinned
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 1000 == 0, 1).otherwise(0).alias("y"))
+    rows = thinned(df, "id", 400, "y", least=15).groupBy("y").count().collect()
+    n = {r["y"]: r["count"] for r in rows}
+    assert 250 < n[0] < 550 and n[1] >= 8
+    assert thinned(df, "id", 10 ** 6, "y").count() == 20_000
+    tiny = thinned(df, "id", 1).count()
+    assert tiny < 20
