@@ -100,17 +100,17 @@ FROM trn JOIN mo USING (feature)"""
 
 def m01_gradient(spark, sf):
     """M1: at the fitted optimum C * sum (p - y) x + beta = 0 for every column and the
-    unpenalised intercept (``at_optimum``)."""
+    unpenalised intercept (``at_optimum``), up to a thousandth of the column's size."""
     p = prepared(spark, sf)
     train = M.with_label(p.train)
     model = M.fit_pipeline(p.fm, M.lr_family(), {"C": 1.0}, train, weight_sum=float(p.n_train))
     x, error = vector_to_array(M.FEATURES), vector_to_array("probability")[1] - F.col("label")
     every = F.concat(x, F.array(F.lit(1.0)))
     sums = (model.transform(train).select(F.posexplode(every).alias("i", "v"), error.alias("e"))
-            .groupBy("i").agg(F.sum(F.col("v") * F.col("e")).alias("g")))
+            .groupBy("i").agg(F.sum(F.col("v") * F.col("e")).alias("g"), F.sum(F.abs("v")).alias("size")))
     beta = [*model.stages[-1].coefficients.toArray().tolist(), 0.0]
     table = spark.createDataFrame(list(zip(range(len(beta)), [*p.fm.columns, "(intercept)"], beta)), "i int, feature string, beta double")
-    return table.join(sums, "i").select("feature", (F.abs(F.col("g") + F.col("beta")) < 0.05).alias("at_optimum"))
+    return table.join(sums, "i").select("feature", (F.abs(F.col("g") + F.col("beta")) < 0.05 + 0.001 * F.col("size")).alias("at_optimum"))
 
 
 M01_SQL = f"""WITH {FM_SQL}
