@@ -415,7 +415,7 @@ def candidates(known: DataFrame) -> DataFrame:
     and members come from that one exchange."""
     dealt = _listed(known).repartition("sig")
     shared = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = checkpointed(dealt.join(shared, "sig").select("sig", "_id", "n"))
+    every = dealt.join(shared, "sig").select("sig", "_id", "n")
     odd = F.col("sig").bitwiseAND(F.lit(2)) != 0
     rows = (every.join(known.select("_id", "_even", "_odd"), "_id")
             .select("sig", "_id", F.when(odd, F.col("_odd")).otherwise(F.col("_even")).alias("allowed"),
@@ -435,7 +435,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filled = every.where("_n > 0 AND _id IS NOT NULL")
     classes = checkpointed(filled.groupBy("_n", "_digest").agg(F.min("_id").alias("_class")))
     heads = small(classes.select(F.col("_class").alias("_id"), "_n", "_digest"))
-    known = filled.join(heads, ["_id", "_n", "_digest"], "left_semi").dropDuplicates(["_id", "_n", "_digest"])
+    known = filled.join(heads, ["_id", "_n", "_digest"], "left_semi")
+    if known.count() > classes.count():  # repeated rows: only then are the signatures moved to drop them
+        known = known.dropDuplicates(["_id", "_n", "_digest"])
     members = candidates(known)
     typical = members.groupBy("_id").agg(F.sum("n").alias("typical"))
     centres = (members.select("sig", "_id").join(typical, "_id").groupBy("sig")
