@@ -96,3 +96,25 @@ def test_bounded_sample(spark):
     s = S.bounded_sample(df, "k", 100, 1)
     assert s.count() == 100
     assert sorted(r.k for r in s.collect()) == sorted(r.k for r in S.bounded_sample(df.repartition(3), "k", 100, 1).collect())
+
+
+def test_household_roles_prepare_a_table(spark):
+    """The household column roles, profile lists included, on a synthetic table of that shape."""
+    from riskmap.operators import clean as C
+    from riskmap.operators import personas as G
+    from riskmap.spec import HOUSEHOLD_CLUSTER_PROFILE, HOUSEHOLD_PERSONA_PROFILE, HOUSEHOLD_SPEC as H
+    cols = list(dict.fromkeys([*H.ids, H.outcome, *H.leak, *H.low_quality, *H.weight, *H.distance, *H.ordinal,
+                               *H.passthrough, *H.nominal, *H.profile_only]))
+    text = {"head_hispanic", "head_racecat", "poverty_band"}
+    rows = [tuple("R" if c in text and i % 5 == 0 else f"v{i % 3}" if c in text else i % 2 == 0 if c == "snap_any"
+                  else -996 if c == "vehiclenum" and i % 4 == 0 else i % 2 if c == H.outcome else i + 1 for c in cols) for i in range(40)]
+    df = spark.createDataFrame(rows, cols)
+    assert len(cols) == 38
+    cl = C.clean(df, H)
+    assert len(cl.columns) == 38 + len(H.log_columns) + len(H.ratio_columns)
+    n = cl.selectExpr("count(vehiclenum)", "count(head_racecat)", "sum(snap_any)").first()
+    assert tuple(n) == (30, 32, 20)
+    kept = C.drop_roles(cl, H, keep_id=False).columns
+    assert not set(kept) & set(H.drop_columns) and set(H.log_columns) <= set(kept)
+    profile = G.cluster_means(cl.withColumn("c", cl["region"] % 2), "c", HOUSEHOLD_CLUSTER_PROFILE)
+    assert profile.count() == 2 and set(HOUSEHOLD_PERSONA_PROFILE) <= set(cl.columns)

@@ -211,14 +211,14 @@ def _searchable(spark):
     from riskmap.operators import split as S
     df = _rows(spark, 240).withColumn("y", (F.coalesce("a", F.lit(0.0)) > 0).cast("int"))
     fm = E.fit_feature_model(df, SPEC)
-    return fm, S.stratified_folds(M.safe_matrix(fm, df, ["k", "y"]), "k", "y", 3, 1)
+    return fm, M.materialize(S.stratified_folds(M.safe_matrix(fm, df, ["k", "y"]), "k", "y", 2, 1))
 
 
 def test_families_searched_together_equal_single_searches(spark):
     fm, data = _searchable(spark)
-    fams = [M.lr_family((0.01, 1.0)), M.svm_lin_family((0.1, 1.0)), M.rf_family((3,), (1, 5), n_trees=5)]
+    fams = [M.lr_family((0.001, 0.01)), M.rf_family((3,), (1, 5), n_trees=5)]
     together = M.search_all(fm, fams, data, parallelism=3)
-    assert list(together) == ["LR", "SVM-Lin", "RF"]
+    assert list(together) == ["LR", "RF"]
     for f in fams:
         table, best = M.grid_search(fm, f, data, parallelism=1)
         rows = {r["grid_id"]: r["mean_ap"] for r in table.collect()}
