@@ -118,3 +118,19 @@ def test_household_roles_prepare_a_table(spark):
     assert not set(kept) & set(H.drop_columns) and set(H.log_columns) <= set(kept)
     profile = G.cluster_means(cl.withColumn("c", cl["region"] % 2), "c", HOUSEHOLD_CLUSTER_PROFILE)
     assert profile.count() == 2 and set(HOUSEHOLD_PERSONA_PROFILE) <= set(cl.columns)
+
+
+def test_line_rollup_deals_lines_over_tasks(spark, monkeypatch):
+    """Tasks grow in number with the lines; results are those of one task, also for a
+    customer with most of the lines, null parts and orders without lines."""
+    from riskmap.sources import fixtures as fx
+    orders = spark.createDataFrame([(i, 1 if i % 3 else i, 1.0) for i in range(400)], "o_orderkey long, o_custkey long, o_totalprice double")
+    lines = spark.createDataFrame([(i % 390, None if i % 50 == 0 else i % 7, float(i % 5), 0.25 * (i % 4), "R" if i % 3 == 0 else "N") for i in range(2000)],
+                                  "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_returnflag string")
+    few = fx.line_rollup(orders, lines)
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 100)
+    many = fx.line_rollup(orders, lines)
+    text = many._jdf.queryExecution().toString()
+    assert "hashpartitioning(o_custkey" in text and ", 20), REPARTITION_BY_NUM" in text
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(few) == rows(many) and sum(r["n_lines"] for r in many.collect()) == 2000
