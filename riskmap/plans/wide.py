@@ -84,7 +84,8 @@ def m01_sparse_logistic(spark, sf):
     fitted = w.model.scaled(w.rows)
     data = fitted.transform(w.rows).withColumn("label", F.col("y").cast("double")).persist()
     n = data.count()
-    model: LogisticRegression = logistic(1.0, float(n), tol=1e-10).fit(data)
+    # every task sends a gradient of all columns in every iteration: one task per core
+    model: LogisticRegression = logistic(1.0, float(n), tol=1e-10).fit(data.coalesce(spark.sparkContext.defaultParallelism))
     error = (model.transform(data).select("k", (vector_to_array("probability")[1] - F.col("label")).alias("e")))
     sums = (fitted.to_long(w.rows).join(error, "k").groupBy("position").agg(F.sum(F.col("value") * F.col("e")).alias("g")))
     beta = spark.createDataFrame(list(enumerate(model.coefficients.toArray().tolist())), "position int, beta double")

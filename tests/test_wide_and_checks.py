@@ -244,3 +244,29 @@ def test_forest_bins_and_weights(spark):
                                              M.Point("balanced", {"max_depth": 4, "min_leaf": 1}, True)], train, data, 240.0, ["k", "y"])
     scores, = M.run_fits(fm, [work])
     assert scores.groupBy("point").count().collect() and scores.count() == 480 and scores.where("p NOT BETWEEN 0 AND 1").count() == 0
+
+
+def test_sparse_fit_sends_one_gradient_per_core(spark, sf_small, monkeypatch):
+    """The solver's tasks do not grow in number with the rows: each sends all columns."""
+    from riskmap.plans import wide
+    seen, real = [], wide.logistic
+
+    class Watched:
+        def __init__(self, *args, **kw):
+            self.made = real(*args, **kw)
+
+        def fit(self, data):
+            seen.append(data.rdd.getNumPartitions())
+            return self.made.fit(data)
+
+    monkeypatch.setattr(wide, "logistic", Watched)
+    monkeypatch.setattr(wide, "_WIDE", wide.SessionCache(wide._Wide))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = wide.m01_sparse_logistic(spark, sf_small).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen and seen[0] <= spark.sparkContext.defaultParallelism
+    assert got["n_settled"] == got["n_columns"]
