@@ -272,3 +272,15 @@ def test_forest_importances_and_coefficients(spark):
     assert sum(imp.values()) == pytest.approx(1.0) and imp["a"] > imp["b"]
     coef = M.coefficient_table(M.fit_pipeline(fm, M.lr_family(), {"C": 1.0}, train), fm).collect()
     assert [r.feature for r in coef][0] == "a" and coef[0].coef > 0 and coef[0].abs >= coef[1].abs
+
+
+def test_forest_rows_carry_their_nodes(spark):
+    """Deep trees do not travel with every job; they are those of MLlib's other way."""
+    from pyspark.ml.linalg import Vectors
+    from riskmap.operators import models as M
+    rows = [(float((i * 7 % 13 + i % 5) % 2), Vectors.dense(float(i % 7), float(i * 31 % 17), float(i % 3))) for i in range(200)]
+    df = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    made = M.random_forest(None, 1, n_trees=5)
+    assert made.getCacheNodeIds()
+    model, other = made.fit(df), M.random_forest(None, 1, n_trees=5).setCacheNodeIds(False).fit(df)
+    assert model.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
