@@ -80,9 +80,20 @@ def distances(points: np.ndarray, v) -> np.ndarray:
     return np.bitwise_count(points ^ v).astype(np.int64)
 
 
-def vantage(points: np.ndarray, reach: int, tries: int = 12) -> tuple[int, int, float]:
-    """(vantage point, radius, cost): the split, of a few candidates, whose larger branch
-    is smallest, both branches counted with what overlaps; cost 1 separates nothing."""
+def _searched(n: np.ndarray) -> np.ndarray:
+    """Work of a branch that a tree searches on."""
+    return n * np.log2(np.maximum(n, 2))
+
+
+def _compared(n: np.ndarray) -> np.ndarray:
+    """Work of a branch whose rows are compared with each other."""
+    return n.astype(float) ** 2
+
+
+def vantage(points: np.ndarray, reach: int, tries: int = 12, work=_searched) -> tuple[int, int, float]:
+    """(vantage point, radius, cost): the split, of a few candidates, whose branches cause
+    the least ``work``, both counted with what overlaps, as a share of the work without a
+    split; cost 1 separates nothing."""
     best = (0, 0, 1.0)
     at = np.linspace(0, len(points) - 1, min(tries, len(points))).astype(np.int64)
     some = points[::max(1, len(points) // 4096)]
@@ -93,8 +104,7 @@ def vantage(points: np.ndarray, reach: int, tries: int = 12) -> tuple[int, int,
         inner = upto[np.minimum(radius + reach, 64)]
         outer = len(some) - np.where(radius >= reach, upto[radius - reach], 0)
         # rows in both branches, weighed against how evenly they are cut
-        cost = (inner * np.log2(np.maximum(inner, 1)) + outer * np.log2(np.maximum(outer, 1))) / (
-            len(some) * np.log2(max(2, len(some))))
+        cost = (work(inner) + work(outer)) / work(np.array(len(some)))
         cost[(inner == len(some)) | (outer == len(some))] = np.inf
         m = int(np.argmin(cost))
         if cost[m] < best[2]:
@@ -103,34 +113,41 @@ def vantage(points: np.ndarray, reach: int, tries: int = 12) -> tuple[int, int,
 
 
 class ShardTree:
-    """The first levels of a vantage-point tree; leaves are numbered shards."""
+    """The first levels of a vantage-point tree; leaves are numbered shards.  Branches are
+    weighed by comparisons, so that cuts through the middle are preferred to taking off
+    small groups one after the other.  Nodes lie in a list, hence a tree of any depth can
+    be grown and sent: (vantage point, radius, inner node, outer node), or a shard."""
 
     def __init__(self, sample: np.ndarray, leaves: int, reach: int):
         self.reach, self.size = reach, 0
-        self.root = self._grow(np.unique(sample), max(1, len(sample) // max(1, leaves)))
-
-    def _grow(self, points: np.ndarray, small: int):
-        if len(points) > max(small, 8):
-            v, m, cost = vantage(points, self.reach)
+        self.nodes: list = [None]
+        small = max(8, len(sample) // max(1, leaves))
+        todo = [(0, np.unique(sample))]
+        while todo:
+            at, points = todo.pop()
+            v, m, cost = vantage(points, reach, work=_compared) if len(points) > small else (0, 0, 1.0)
             if cost < 1.0:
                 inside = distances(points, np.uint64(v)) <= m
-                return np.uint64(v), m, self._grow(points[inside], small), self._grow(points[~inside], small)
-        self.size += 1
-        return self.size - 1
+                self.nodes[at] = (v, m, len(self.nodes), len(self.nodes) + 1)
+                todo += [(len(self.nodes), points[inside]), (len(self.nodes) + 1, points[~inside])]
+                self.nodes += [None, None]
+            else:
+                self.nodes[at] = self.size
+                self.size += 1
 
     def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in points, shard) for all shards that a point's ball overlaps."""
-        rows, shards, todo = [], [], [(self.root, np.arange(len(points)))]
+        rows, shards, todo = [], [], [(0, np.arange(len(points)))]
         while todo:
             node, at = todo.pop()
             if not len(at):
                 continue
-            if isinstance(node, int):
+            if isinstance(self.nodes[node], int):
                 rows.append(at)
-                shards.append(np.full(len(at), node, dtype=np.int32))
+                shards.append(np.full(len(at), self.nodes[node], dtype=np.int32))
                 continue
-            v, m, inner, outer = node
-            d = distances(points[at], v)
+            v, m, inner, outer = self.nodes[node]
+            d = distances(points[at], np.uint64(v))
             todo += [(inner, at[d <= m + self.reach]), (outer, at[d > m - self.reach])]
         if not rows:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)

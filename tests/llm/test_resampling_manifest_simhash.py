@@ -215,3 +215,16 @@ def test_simhash_of_many_near_copies(spark):
     texts |= {2000 + i: "" for i in range(5)}
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.components(frame(spark, texts.items())).collect()}
     assert got == brute.simhash(texts)
+
+
+def test_shard_tree_of_many_prints_is_shallow_and_even():
+    """As many prints as a sample of three million classes gives: the tree can be grown and
+    sent, and no shard holds most rows."""
+    import pickle
+
+    points = np.unique(np.random.default_rng(8).integers(0, 2**64, 10_500, dtype=np.uint64))
+    tree = pickle.loads(pickle.dumps(simhash.ShardTree(points, 150, 1)))
+    rows, shards = tree.shards(points)
+    assert len(np.unique(rows)) == len(points)
+    assert np.bincount(shards, minlength=tree.size).max() < len(points) / 20
+    assert len(rows) < 10 * len(points)
