@@ -284,3 +284,19 @@ def test_forest_rows_carry_their_nodes(spark):
     assert made.getCacheNodeIds()
     model, other = made.fit(df), M.random_forest(None, 1, n_trees=5).setCacheNodeIds(False).fit(df)
     assert model.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
+
+
+def test_kernel_rows_work_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, marks = np.empty(1500, dtype=object), rng.normal(size=(7, 4))
+    rows[:] = list(rng.normal(size=(1500, 4)))
+    norm, plain, seen = KR.nystroem_normalization(marks, 0.1), KR.rbf_kernel, []
+
+    def kernel(a, b, gamma):
+        seen.append(len(a))
+        return plain(a, b, gamma)
+
+    monkeypatch.setattr(KR, "rbf_kernel", kernel)
+    got = KR.kernel_rows(rows, marks, norm, 0.1)
+    assert max(seen) <= KR.BLOCK_ROWS and len(got) == len(rows)
+    assert np.allclose(got, plain(np.stack(rows), marks, 0.1) @ norm.T)
