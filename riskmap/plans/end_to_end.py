@@ -9,17 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskmap.operators import clean as C
 from riskmap.operators import models as M
 from riskmap.operators import personas as G
 from riskmap.operators import targeting as T
 from riskmap.plans.common import q6
-from riskmap.plans.prediction import prepared
+from riskmap.plans.prediction import matrix, prepared
 from riskmap.plans.segmentation import PERSONA_CAP, k14_assign_personas
 from riskmap.plans.synthesis import CUTS
-from riskmap.sources import fixtures as fx
 from riskmap.spec import CUSTOMER_PROFILE
-from riskmap.spec import CUSTOMER_SPEC as SPEC
 
 # Naming rules for the customer table, same structure as the household rules.
 CUSTOMER_NAME_RULES = (
@@ -42,7 +39,7 @@ def _table(spark, sf):
 
 
 def _profile(spark, sf):
-    customers = C.clean(fx.cust_features(spark, sf), SPEC).select("k", *[
+    customers = matrix(spark, sf).cleaned.select("k", *[
         F.col(c).cast("double").alias(c) for c in CUSTOMER_PROFILE])
     return customers.join(k14_assign_personas(spark, sf).select("k", "persona"), "k")
 

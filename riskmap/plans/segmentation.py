@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from riskmap.operators import clean as C
 from riskmap.operators import features as E
-from riskmap.operators import models as M
 from riskmap.operators import segment as K
 from riskmap.plans.common import SessionCache, q6, sql_q6
+from riskmap.plans.prediction import matrix
 from riskmap.sources import fixtures as fx
 from riskmap.spec import CUSTOMER_SPEC as SPEC
 
@@ -145,9 +145,8 @@ class SegPrepared:
     geography columns; each set is built when first asked for."""
 
     def __init__(self, spark, sf: str):
-        cl = M.materialize(C.clean(fx.cust_features(spark, sf), SPEC))
-        self.fm = E.fit_feature_model(cl, SPEC)
-        self.all = M.materialize(M.safe_matrix(self.fm, cl, keep=["k", "y"]))
+        both = matrix(spark, sf)
+        self.fm, self.all = both.fm, both.all
         self._sets: dict = {}
 
     def __getitem__(self, key: str) -> dict:

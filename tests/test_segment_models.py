@@ -300,3 +300,24 @@ def test_kernel_rows_work_in_blocks(monkeypatch):
     got = KR.kernel_rows(rows, marks, norm, 0.1)
     assert max(seen) <= KR.BLOCK_ROWS and len(got) == len(rows)
     assert np.allclose(got, plain(np.stack(rows), marks, 0.1) @ norm.T)
+
+
+def test_prediction_and_segmentation_share_one_matrix(spark, sf_small):
+    from riskmap.plans.prediction import matrix, prepared
+    from riskmap.plans.segmentation import seg
+
+    assert seg(spark, sf_small).all is matrix(spark, sf_small).all
+    assert prepared(spark, sf_small).fm is seg(spark, sf_small).fm
+
+
+def test_customer_rows_dealt_over_tasks(spark, sf_small, monkeypatch):
+    """Beyond one task's lines, customers, orders and lines meet in as many tasks as their
+    number asks for, with the same rows."""
+    from riskmap.sources import fixtures as fx
+
+    plain = sorted(fx.cust_features(spark, sf_small).collect(), key=str)
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 300)
+    dealt = fx.cust_features(spark, sf_small)
+    assert dealt.rdd.getNumPartitions() == fx.rollup_tasks(fx.read_table(spark, sf_small, "lineitem")) > 8
+    for a, b in zip(plain, sorted(dealt.collect(), key=str)):
+        assert [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
