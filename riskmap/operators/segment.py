@@ -118,23 +118,74 @@ def kmeans_tolerance(df: DataFrame, k: int, features_col: str = "pca", relative:
 
 def kmeans_pool(df: DataFrame, runs: Sequence[tuple[int, int]], n_init: int = 20, features_col: str = "pca",
                 max_iter: int = 300, parallelism: int = 8) -> list[KMeansModel]:
-    """K6: for every (k, seed) the lowest-cost fit of ``n_init`` seeded restarts.  All
-    restarts of all runs share one pool of driver threads, so none waits at a barrier."""
+    """K6: for every (k, seed) the lowest-cost fit of ``n_init`` seeded restarts.  MLlib
+    seeds each restart; ``restart_costs`` follows all of them to their ends together, a
+    scan of the rows per iteration whatever their number; then MLlib fits the restart of
+    each run whose cost is lowest (the first of those equal but for rounding)."""
     tol = {k: kmeans_tolerance(df, k, features_col) for k in {k for k, _ in runs}}
 
-    def fit(task):
+    def fit(task, iterations=max_iter):
         (k, seed), i = task
-        return KMeans(k=k, seed=seed + 7919 * i, featuresCol=features_col, maxIter=max_iter,
+        return KMeans(k=k, seed=seed + 7919 * i, featuresCol=features_col, maxIter=iterations,
                       tol=tol[k], predictionCol="cluster").fit(df)
 
     tasks = [(run, i) for run in runs for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as ex:
-        models = list(ex.map(fit, tasks))
-    out = []
-    for r in range(len(runs)):
-        mine = models[r * n_init:(r + 1) * n_init]
-        out.append(mine[int(np.argmin([m.summary.trainingCost for m in mine]))])
-    return out
+        if n_init > 1:
+            starts = list(ex.map(lambda t: np.array(fit(t, 0).clusterCenters(), dtype=float), tasks))
+            costs = restart_costs(df, starts, [tol[k] for (k, _), _ in tasks], features_col, max_iter).reshape(-1, n_init)
+            tasks = [(run, int(np.argmax(c <= c.min() * (1 + 1e-12)))) for run, c in zip(runs, costs)]
+        return list(ex.map(fit, tasks))
+
+
+def restart_costs(df: DataFrame, starts: Sequence[np.ndarray], tols: Sequence[float], features_col: str = "pca",
+                  max_iter: int = 300) -> np.ndarray:
+    """Cost at which Lloyd's iteration ends from every start (k x d centres): as MLlib's, it
+    ends once no centre moves further than the tolerance, the cost is that of the last
+    assignment, and a centre without rows stays.  One job an iteration assigns the rows
+    for all starts that still move; the driver gets a row per centre."""
+    spark, d = df.sparkSession, len(starts[0][0])
+    rows = df.select(vector_to_array(features_col).alias("x"))
+    centres, costs, moving = [c.copy() for c in starts], np.full(len(starts), np.inf), list(range(len(starts)))
+    sums = ", ".join(f"s{i} double" for i in range(d + 2))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sent = spark.sparkContext.broadcast([centres[i] for i in moving])
+
+        def assign_all(batches, sent=sent):
+            totals = [np.zeros((len(c), d + 2)) for c in sent.value]      # sum of rows, their number, cost
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+                wide = np.column_stack([x, np.ones(len(x)), (x * x).sum(1)])
+                for total, c in zip(totals, sent.value):
+                    away = (c * c).sum(1) - 2.0 * x @ c.T
+                    near = np.argmin(away, axis=1)
+                    mine = (near[:, None] == np.arange(len(c))).astype(float)
+                    total += mine.T @ wide
+                    total[:, d + 1] += (mine * away).sum(0)
+            at = np.concatenate([np.full(len(t), i, dtype=np.int32) for i, t in enumerate(totals)])
+            which = np.concatenate([np.arange(len(t), dtype=np.int32) for t in totals])
+            every = np.concatenate(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(which)] + [pa.array(every[:, i]) for i in range(d + 2)],
+                                             names=["start", "centre"] + [f"s{i}" for i in range(d + 2)])
+
+        got = (rows.mapInArrow(assign_all, f"start int, centre int, {sums}").groupBy("start", "centre")
+               .agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(d + 2)]).toArrow())
+        sent.destroy()
+        start, which = got.column("start").to_numpy(), got.column("centre").to_numpy()
+        every = np.column_stack([got.column(f"s{i}").to_numpy() for i in range(d + 2)])
+        still = []
+        for at, i in enumerate(moving):
+            mine, old = start == at, centres[i]
+            new = old.copy()
+            filled = mine & (every[:, d] > 0)
+            new[which[filled]] = every[filled, :d] / every[filled, d:d + 1]
+            costs[i], centres[i] = float(every[mine, d + 1].sum()), new
+            if np.sqrt(((new - old) ** 2).sum(1)).max() > tols[i]:
+                still.append(i)
+        moving = still
+    return costs
 
 
 def kmeans_best_of(df: DataFrame, k: int, n_init: int = 20, seed: int = 42,

@@ -286,6 +286,22 @@ def test_forest_rows_carry_their_nodes(spark):
     assert model.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
 
 
+def test_restarts_followed_together_end_as_mllib_fits(spark):
+    from pyspark.ml.clustering import KMeans
+
+    df, X, lab = _blobs(spark, n=40)
+    df = K.deterministic_layout(df, "id", 3)
+    make = lambda k, seed, n: KMeans(k=k, seed=seed, featuresCol="pca", maxIter=n, tol=1e-3, predictionCol="cluster").fit(df)
+    runs = [(2, 1), (3, 2), (4, 3), (5, 4)]
+    starts = [np.array(make(k, s, 0).clusterCenters()) for k, s in runs]
+    got = K.restart_costs(df, starts, [1e-3] * len(runs))
+    assert got == pytest.approx([make(k, s, 100).summary.trainingCost for k, s in runs], rel=1e-9)
+    best = K.kmeans_pool(df, [(4, 1)], n_init=6)[0]
+    tol = K.kmeans_tolerance(df, 4)
+    single = [KMeans(k=4, seed=1 + 7919 * i, featuresCol="pca", maxIter=300, tol=tol).fit(df).summary.trainingCost for i in range(6)]
+    assert best.summary.trainingCost == pytest.approx(min(single), rel=1e-9)
+
+
 def test_kernel_rows_work_in_blocks(monkeypatch):
     rng = np.random.default_rng(2)
     rows, marks = np.empty(1500, dtype=object), rng.normal(size=(7, 4))
