@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmap.llm.common import checkpointed, map_text, small, table
+from riskmap.llm.common import checkpointed, map_text, pieces, small, table
 
 SHINGLE = 3
 THETA = 90
 SLACKS = range(1, 49)
 BAND_RATIO = 1.5
 BLOCK_BYTES = 4 << 20       # of sketches compared with each other
+TEXT_BYTES = 1 << 20        # described at once: signatures and their sorting take many times that
+LISTED_BYTES = 1 << 20      # of packed signatures that become rows at once
 COMMON_SHARE = 0.12         # slack for common passages, of a band's segments
 SIGNATURE_BYTES = 6         # a chance meeting of two signatures is only one more check
 
@@ -260,8 +262,8 @@ def _linked(theta: int):
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= theta * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -391,31 +393,38 @@ def describe_documents(docs: DataFrame, theta: int, width: int, deletions: int |
     band = sum((words >= x).cast("int") for x in edges[:40]) - 1
     counts = {r["b"]: r["n"] for r in docs.groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     fields, start = _describe(Bands(theta, counts, deletions=deletions), width)
-    return checkpointed(map_text(docs, "_text", ["_id"], fields, start))
+    return checkpointed(map_text(docs, "_text", ["_id"], fields, start, TEXT_BYTES))
 
 
-def _listed(known: DataFrame) -> DataFrame:
-    """(_id, sig), a row per signature."""
-    def run(batches):
-        for batch in batches:
-            packed = batch.column(1).to_pylist()
+def _unpacked(batches):
+    """Batches of (_id, sig) from those of (_id, packed signatures), a bounded number of bytes at a time."""
+    for batch in batches:
+        for part in pieces(batch, 1, LISTED_BYTES):
+            packed = part.column(1).to_pylist()
             count = np.array([len(x) // SIGNATURE_BYTES for x in packed], dtype=np.int64)
             wide = np.zeros((int(count.sum()), 8), dtype=np.uint8)
             wide[:, :SIGNATURE_BYTES] = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, SIGNATURE_BYTES)
             owner = pa.array(np.repeat(np.arange(len(count)), count))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(wide.view("<i8").ravel())], names=["_id", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(wide.view("<i8").ravel())], names=["_id", "sig"])
+
 
+def _listed(known: DataFrame) -> DataFrame:
+    """(_id, sig), a row per signature."""
     return known.select("_id", "_sigs").mapInArrow(
-        run, T.StructType([known.schema["_id"], T.StructField("sig", T.LongType())]))
+        _unpacked, T.StructType([known.schema["_id"], T.StructField("sig", T.LongType())]))
+
+
+def _shared(listed: DataFrame) -> DataFrame:
+    """(sig, _id, n): the signatures that occur more than once.  They are dealt once, by value;
+    a join with their counts would deal them a second time."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    return listed.select("sig", "_id", n.alias("n")).where("n > 1")
 
 
 def candidates(known: DataFrame) -> DataFrame:
     """(sig, _id, n): the signatures that sets still share once each has left out its most
-    frequent ones, and how many sets do.  The signatures are dealt once, by value; counts
-    and members come from that one exchange."""
-    dealt = _listed(known).repartition("sig")
-    shared = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = dealt.join(shared, "sig").select("sig", "_id", "n")
+    frequent ones, and how many sets do."""
+    every = _shared(_listed(known))
     odd = F.col("sig").bitwiseAND(F.lit(2)) != 0
     rows = (every.join(known.select("_id", "_even", "_odd"), "_id")
             .select("sig", "_id", F.when(odd, F.col("_odd")).otherwise(F.col("_even")).alias("allowed"),

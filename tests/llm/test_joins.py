@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def test_dedup_key_collision_keeps_texts_apart(documents, texts, monkeypatch):
 
 # ---- Jaccard join
 
+def test_signatures_are_dealt_once_and_in_bounded_batches(spark, monkeypatch):
+    packed = [(i, b"".join((7 * i + j).to_bytes(6, "little") for j in range(20))) for i in range(40)] + [(99, b"")]
+    known = spark.createDataFrame(packed, "_id long, _sigs binary").repartition(3)
+    count = Counter(7 * i + j for i in range(40) for j in range(20))
+    shared = jaccard_join._shared(jaccard_join._listed(known))
+    got = sorted(map(tuple, shared.collect()))
+    assert got == sorted((7 * i + j, i, count[7 * i + j]) for i in range(40) for j in range(20) if count[7 * i + j] > 1)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning(sig") == 1
+    monkeypatch.setattr(jaccard_join, "LISTED_BYTES", 600)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed]), pa.array([x for _, x in packed])], names=["_id", "_sigs"])
+    out = list(jaccard_join._unpacked([batch]))
+    assert max(len(x) for x in out) <= 100 and sum(len(x) for x in out) == 800
+    assert [(r["_id"], r["sig"]) for x in out for r in x.to_pylist()] == [(i, 7 * i + j) for i in range(40) for j in range(20)]
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
