@@ -2,7 +2,8 @@
 
 PCA and K-Means are MLlib's.  Driver-side objects stay bounded by the model
 size: d explained-variance ratios, the d x m loading matrix, k x m centroids,
-and the <= 2,000-row silhouette sample (the analysis' own sample bound).
+and the <= 2,000-row sample of K8 given labels (the analysis' own sample bound).  The
+sweep's silhouette covers all pairs of rows.
 
 Determinism (K-Means with the same seed fits differently when the input is
 partitioned differently): ``deterministic_layout`` fixes the partitioning by
@@ -19,6 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -34,6 +36,8 @@ from riskmap.operators.split import bounded_sample
 
 SILHOUETTE_SAMPLE = 2000
 ROWS_PER_TASK = 50_000
+PAIR_ROWS = 65_536        # rows whose distances to all rows one task adds up
+PAIR_TILE = 1024          # rows by rows of distances that a task holds at once
 
 
 def deterministic_layout(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
@@ -287,21 +291,121 @@ def silhouette_full(df: DataFrame, features_col: str, label_col: str) -> float |
                                      metricName="silhouette").evaluate(df))
 
 
+def silhouettes_all(df: DataFrame, models: Sequence[KMeansModel], features_col: str = "pca") -> list[float]:
+    """K8 on all rows: the mean Euclidean silhouette of every row under each model.
+
+    Rows are dealt into groups of at most ``PAIR_ROWS``.  A task gets its group's rows
+    first and then all rows, in order, and adds up each of its rows' distances to every
+    cluster of every model, a tile at a time: distances are computed once for all models,
+    and memory is bounded by the group.  All pairs are visited, so time grows with the
+    square of the rows.  Rows of a cluster of one score 0, as do all rows where one
+    cluster has them all.
+    """
+    spark = df.sparkSession
+    centres = [np.array(m.clusterCenters(), dtype=float) for m in models]
+    ends = np.cumsum([0] + [len(c) for c in centres])
+    rows = df.select(vector_to_array(features_col).alias("x"))
+    n = rows.count()
+    if not n:
+        return [float("nan")] * len(centres)
+    groups = max(math.ceil(n / PAIR_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(n / 256)))
+
+    def label(batches):
+        at, seen = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                near = np.column_stack([first + np.argmin((c * c).sum(1) - 2.0 * x @ c.T, axis=1)
+                                        for first, c in zip(ends, centres)]).astype(np.int32)
+                order = np.arange(seen, seen + len(x))
+                seen += len(x)
+                stops = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at + order), pa.array((order % groups).astype(np.int32)), batch.column(0),
+                     pa.ListArray.from_arrays(stops, pa.array(near.ravel()))], names=["place", "own", "x", "near"])
+
+    def score(held, sums, sizes):
+        """Sum of the silhouettes of a group's rows, under each model."""
+        out, every = [], np.arange(len(held))
+        for i, (first, end) in enumerate(zip(ends, ends[1:])):
+            own, size, s = held[:, i] - first, sizes[first:end], sums[:, first:end]
+            others = np.where(size > 0, s / np.maximum(size, 1), np.inf)
+            others[every, own] = np.inf
+            a, b = s[every, own] / np.maximum(size[own] - 1, 1), others.min(1)
+            top = np.maximum(a, b)
+            fine = (size[own] > 1) & np.isfinite(b) & (top > 0)
+            out.append(float(((b - a)[fine] / top[fine]).sum()))
+        return out
+
+    def add_up(batches):
+        """Of each group in turn: its rows (role 0), then all rows (role 1)."""
+        group, mine, sums = None, [], None
+
+        def ended():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([group] * len(centres), pa.int32()), pa.array(range(len(centres)), pa.int32()),
+                 pa.array(score(near, sums, sizes))], names=["g", "model", "s"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            places, owns = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            xs = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            nears = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(role) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(g)]):
+                if g[lo] != group:
+                    if group is not None:
+                        yield ended()
+                    group, mine, sums = int(g[lo]), [], None
+                if role[lo] == 0:
+                    mine.append((places[lo:hi], xs[lo:hi], nears[lo:hi]))
+                    continue
+                if sums is None:
+                    place, x, near = (np.concatenate(v) for v in zip(*mine))
+                    mine, sums, sizes = [], np.zeros((len(x), ends[-1])), np.zeros(ends[-1])
+                    squares = (x * x).sum(1)
+                for at in range(lo, hi, PAIR_TILE):
+                    to = min(at + PAIR_TILE, hi)
+                    y, its = xs[at:to], np.zeros((to - at, ends[-1]))
+                    its[np.arange(to - at)[:, None], nears[at:to]] = 1.0
+                    sizes += its.sum(0)
+                    same = np.flatnonzero(owns[at:to] == group)
+                    where = np.searchsorted(place, places[at:to][same])
+                    for top in range(0, len(x), PAIR_TILE):
+                        end = min(top + PAIR_TILE, len(x))
+                        d = squares[top:end, None] + (y * y).sum(1)[None, :] - 2.0 * x[top:end] @ y.T
+                        d = np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+                        here = (where >= top) & (where < end)
+                        d[where[here] - top, same[here]] = 0.0
+                        sums[top:end] += d @ its
+        if group is not None:
+            yield ended()
+
+    placed = rows.mapInArrow(label, "place long, own int, x array<double>, near array<int>")
+    each = F.concat(F.array(F.struct(F.col("own").alias("g"), F.lit(0).alias("role"))),
+                    F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.struct(i.alias("g"), F.lit(1).alias("role"))))
+    met = (placed.select(F.explode(each).alias("to"), "place", "own", "x", "near").select("to.*", "place", "own", "x", "near")
+           .repartitionByRange(groups, "g").sortWithinPartitions("g", "role", "place"))
+    got = met.mapInArrow(add_up, "g int, model int, s double").orderBy("model", "g").collect()      # groups x models
+    return [math.fsum(r["s"] for r in got if r["model"] == i) / n for i in range(len(centres))]
+
+
 def kmeans_sweep(df: DataFrame, id_col: str, ks: Sequence[int] = range(2, 9), n_init: int = 20,
                  seed: int = 42, features_col: str = "pca", parallelism: int = 8) -> tuple[DataFrame, dict]:
     """K7: (k, inertia, silhouette, silhouette_full) per k; the table and the models.
-    ``silhouette`` is Euclidean on a bounded sample, ``silhouette_full`` covers all rows."""
+    ``silhouette`` is Euclidean over all pairs of rows, ``silhouette_full`` MLlib's squared one."""
     fitted = kmeans_pool(df, [(int(k), seed) for k in ks], n_init, features_col, parallelism=parallelism)
+    euclidean = silhouettes_all(df, fitted, features_col)
 
     def row(task):
-        k, m = task
+        k, m, s = task
         lab = m.transform(df).select(id_col, features_col, "cluster")
-        return (int(k), float(m.summary.trainingCost),
-                silhouette_exact(lab, id_col, features_col, "cluster", SILHOUETTE_SAMPLE, seed),
-                silhouette_full(lab, features_col, "cluster"))
+        return int(k), float(m.summary.trainingCost), s, silhouette_full(lab, features_col, "cluster")
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        rows = list(ex.map(row, zip(ks, fitted)))
+        rows = list(ex.map(row, zip(ks, fitted, euclidean)))
     t = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_full double")
     return t, {int(k): m for k, m in zip(ks, fitted)}
 

@@ -195,7 +195,7 @@ def _sweep(spark, sf, key):
 
 
 def k07_kmeans_sweep(spark, sf):
-    """K6-K8: best-of-20 K-Means for k = 2..8, inertia and exact silhouette."""
+    """K6-K8: best-of-20 K-Means for k = 2..8, inertia and exact silhouette of all rows."""
     table, _ = _sweep(spark, sf, "geo")
     return table
 

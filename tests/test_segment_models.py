@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -224,6 +226,23 @@ def test_sweep_reports_both_silhouettes(spark):
     assert K.mean_offdiag(K.ari_pairs(labels)).first()[0] == pytest.approx(1.0)
 
 
+def test_sweep_silhouette_covers_all_rows(spark, monkeypatch):
+    """Every row counts, however few a sample would have, in several groups and tiles."""
+    rng = np.random.default_rng(8)
+    X = np.vstack([rng.normal(c, 1.5, (230, 3)) for c in (0.0, 4.0)] + [rng.normal(9.0, 0.1, (1, 3))] + [np.zeros((9, 3))])
+    df = K.deterministic_layout(spark.createDataFrame([(i % 400, Vectors.dense(x)) for i, x in enumerate(X)], ["id", "pca"]), "id", 3)
+    monkeypatch.setattr(K, "SILHOUETTE_SAMPLE", 40)
+    for rows, tile in ((65_536, 1024), (70, 32)):
+        monkeypatch.setattr(K, "PAIR_ROWS", rows)
+        monkeypatch.setattr(K, "PAIR_TILE", tile)
+        table, models = K.kmeans_sweep(df, "id", (2, 3, 5), n_init=1, parallelism=2)
+        for r in table.collect():
+            lab = models[r.k].transform(df).select("pca", "cluster").collect()
+            assert r.silhouette == pytest.approx(R.silhouette(np.array([v.pca.toArray() for v in lab]), [v.cluster for v in lab]), abs=1e-6)
+    one = SimpleNamespace(clusterCenters=lambda: [np.zeros(3)])
+    assert K.silhouettes_all(df, [one, models[2]]) == [0.0, pytest.approx(table.where("k = 2").first().silhouette, abs=1e-12)]
+
+
 def _imbalanced(spark, n=400):
     from riskmap.operators import features as E
     from riskmap.operators import split as S
