@@ -3,13 +3,12 @@ and day columns have a level for every few rows."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmap.operators import wide as W
-from riskmap.operators.models import logistic
+from riskmap.operators.wide import logistic
 from riskmap.plans.common import SessionCache, q6, sql_q6
 from riskmap.sources.tables import read_table
 from riskmap.spec import RoleSpec
@@ -84,11 +83,11 @@ def m01_sparse_logistic(spark, sf):
     fitted = w.model.scaled(w.rows)
     data = fitted.transform(w.rows).withColumn("label", F.col("y").cast("double")).persist()
     n = data.count()
-    # every task sends a gradient of all columns in every iteration: one task per core
-    model: LogisticRegression = logistic(1.0, float(n), tol=1e-10).fit(data.coalesce(spark.sparkContext.defaultParallelism))
+    # every task sends a matrix of the narrow columns in every iteration: one task per core
+    model = logistic(1.0, float(n), fitted.widest(), tol=1e-10).fit(data.coalesce(spark.sparkContext.defaultParallelism))
     error = (model.transform(data).select("k", (vector_to_array("probability")[1] - F.col("label")).alias("e")))
     sums = (fitted.to_long(w.rows).join(error, "k").groupBy("position").agg(F.sum(F.col("value") * F.col("e")).alias("g")))
-    beta = spark.createDataFrame(list(enumerate(model.coefficients.toArray().tolist())), "position int, beta double")
+    beta = W.coefficient_rows(spark, model)
     data.unpersist()
     settled = F.count(F.when(F.abs(F.coalesce("g", F.lit(0.0)) + F.col("beta")) < 0.05, 1))
     return beta.join(sums, "position", "left").agg(

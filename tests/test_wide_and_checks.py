@@ -270,3 +270,29 @@ def test_sparse_fit_sends_one_gradient_per_core(spark, sf_small, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert seen and seen[0] <= spark.sparkContext.defaultParallelism
     assert got["n_settled"] == got["n_columns"]
+
+
+def test_sparse_logistic_equals_mllib_without_wide_vectors_on_the_driver(spark, monkeypatch):
+    """Coefficients of the widest column stay in a table, with common, missing and repeated keys."""
+    n = 3000
+    level = F.when(F.col("id") % 4 == 0, "hot").when(F.col("id") % 11 == 0, F.lit(None)).otherwise((F.col("id") * F.col("id") % 601).cast("string"))
+    df = spark.range(0, n, 1, 3).select(
+        (F.col("id") % 2500).alias("k"), ((F.col("id") * 7 % 13 + F.col("id") % 5) % 2).cast("int").alias("y"), F.lit(1.0).alias("a"),
+        (F.col("id") % 9).cast("double").alias("n"), level.alias("c"), (F.col("id") * 3 % 7).cast("string").alias("d"))
+    model = W.fit_sparse_features(df, SPEC)
+    data = model.transform(df.dropDuplicates(["k"])).withColumn("label", F.col("y").cast("double")).persist()
+    data = data.unionByName(data.where("k % 3 = 0")).persist()
+    assert model.widest() == (model.offsets()["c"], model.sizes["c"])
+    for rows in (64, 32_768):
+        monkeypatch.setattr(W, "CHUNK_ROWS", rows)
+        fit = W.logistic(0.5, float(data.count()), model.widest()).fit(data.repartition(3))
+        assert fit.levels.count() > 100 and len(fit.rest) < 20
+        plain = M.logistic(0.5, float(data.count()), tol=1e-13).fit(data)
+        got = [r["beta"] for r in W.coefficient_rows(spark, fit).orderBy("position").collect()]
+        assert got == pytest.approx(plain.coefficients.toArray().tolist(), abs=1e-5) and fit.intercept == pytest.approx(plain.intercept, abs=1e-5)
+        p = [sorted((r["k"], round(float(r["probability"][1]), 4)) for r in m.transform(data).collect()) for m in (fit, plain)]
+        assert len(p[0]) == data.count() and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-4 for a, b in zip(*p))
+    monkeypatch.setattr(W, "MAX_REST", 5)
+    assert W.coefficient_rows(spark, W.logistic(0.5, float(data.count()), model.widest()).fit(data)).count() == model.width
+    with pytest.raises(Exception):
+        W.logistic(0.5, 10.0, model.widest()).fit(data.withColumn("label", F.when(F.col("k") > 5, F.col("label"))))
