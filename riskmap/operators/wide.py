@@ -317,8 +317,11 @@ class SparseLogistic:
         width = data.select(F.unwrap_udt("features")["size"].alias("d")).first()["d"]
         rows = self._entries(data)
         counted = rows.where("level IS NOT NULL").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("size") != 1).alias("scaled"))
-        total, zeros, ones = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).first()
-        if not (zeros and ones and zeros + ones == total):                # one class, several, or labels that MLlib refuses
+        at = F.unwrap_udt("features")["indices"]
+        total, zeros, ones, repeated = data.agg(
+            F.count(F.lit(1)), F.count(F.when(F.col("label") == 0, 1)), F.count(F.when(F.col("label") == 1, 1)),
+            F.count(F.when(F.size(F.array_distinct(at)) != F.size(at), 1))).first()
+        if not (zeros and ones and zeros + ones == total) or repeated:    # one class, several, or rows that MLlib refuses
             return self._plain(data)
         hot = sorted(r["level"] for r in counted.where((F.col("n") * HOT_BLOCK > total) | F.col("scaled")).select("level").limit(MAX_REST + 1).collect())
         plain = width - size

@@ -296,3 +296,6 @@ def test_sparse_logistic_equals_mllib_without_wide_vectors_on_the_driver(spark,
     assert W.coefficient_rows(spark, W.logistic(0.5, float(data.count()), model.widest()).fit(data)).count() == model.width
     with pytest.raises(Exception):
         W.logistic(0.5, 10.0, model.widest()).fit(data.withColumn("label", F.when(F.col("k") > 5, F.col("label"))))
+    twice = df.unionByName(df.where("k = 5"))
+    with pytest.raises(Exception):            # rows of one key meet in one vector, which has places twice
+        W.logistic(0.5, 10.0, model.widest()).fit(model.transform(twice).withColumn("label", F.col("y").cast("double")))
